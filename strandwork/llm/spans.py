@@ -13,9 +13,9 @@ to the shards they can match:
 2. *Reference shards.* The shard of an anchor holds, from each document with it, the region
    that any window picking this anchor must lie in. Equal regions are kept once.
 3. *Suffix automata.* Per shard of at most ``SHARD`` regions a generalised suffix automaton is
-   built; the regions are streamed through it, and each position whose longest match
-   elsewhere in the shard reaches ``SPAN`` opens or extends a maximal span. The states tell
-   which regions hold the same span.
+   built; the regions are streamed through it for matching statistics. The states in which a
+   match of ``SPAN`` characters ends tell which regions hold it; runs of positions with the
+   same holders are maximal spans.
 4. *Hot shards*, with more regions than that (boilerplate a little shorter than ``SPAN``),
    go the exact way round the automaton: every ``SPAN``-window of a region becomes a row under
    its 128-bit hash and windows are grouped, so work stays linear and splits over tasks.
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.hashing import content_key
+from strandwork.llm.bits import bit_map, bits_for, thin
 from strandwork.runtime import settle, spread
 
 SPAN = 200
@@ -152,9 +153,11 @@ def anchors(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
 def regions(texts: DataFrame, shared: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
     """``h, k1, k2, begin, r1, r2, region``: the surroundings of each shared anchor, keyed by content."""
     before = span - anchor
-    # the list is bounded by the text's own length
-    wanted = shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "pos")).alias("at"))
-    each = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
+    # the set is bounded by the text's own length; copies of a text add nothing to it
+    wanted = settle(shared.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "pos")).alias("at")), "span-wanted")
+    bits = bits_for(wanted.count())
+    few = thin(texts.select("k1", "k2", "text"), bit_map(wanted, bits, "k1"), bits, "k1")
+    each = few.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,19 +174,17 @@ def regions(texts: DataFrame, shared: DataFrame, span: int = SPAN, anchor: int =
 
 
 class SuffixAutomaton:
-    """A generalised suffix automaton over several texts; each state knows the texts it occurs in."""
+    """A generalised suffix automaton over several texts."""
 
     def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.texts = [0]
 
     def _state(self, length: int, edges: dict[str, int], link: int) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.texts.append(0)
         return len(self.link) - 1
 
     def add(self, text: str) -> None:
@@ -216,32 +217,22 @@ class SuffixAutomaton:
             p = link[p]
         return clone
 
-    def mark(self, texts: list[str]) -> None:
-        """Note in each state which of the added texts hold its strings, as a bit set."""
-        for i, text in enumerate(texts):
-            bit, at = 1 << i, 0
-            for c in text:
-                at = self.next[at][c]
-                v = at
-                while v > 0 and not self.texts[v] & bit:
-                    self.texts[v] |= bit
-                    v = self.link[v]
-
-    def stream(self, text: str, span: int) -> Iterator[tuple[int, int]]:
-        """Matching statistics: ``(end, texts)`` for each position where the last ``span`` characters match."""
-        at = matched = 0
+    def stream(self, text: str, span: int) -> list[int]:
+        """Matching statistics: per position, the state of its longest match cut to the least state that still holds the last ``span`` characters; 0 where the match is shorter."""
         edges, link, length = self.next, self.link, self.length
-        for i, c in enumerate(text):
+        at = matched = 0
+        out = []
+        for c in text:
             while at and c not in edges[at]:
                 at = link[at]
                 matched = length[at]
             if c in edges[at]:
                 at, matched = edges[at][c], matched + 1
-            while length[link[at]] >= span if at else False:
+            while at and length[link[at]] >= span:
                 at = link[at]
                 matched = length[at]
-            if matched >= span:
-                yield i + 1, self.texts[at]
+            out.append(at if matched >= span else 0)
+        return out
 
 
 def shard_spans(texts: list[str], span: int = SPAN) -> list[tuple[int, int, int, int]]:
@@ -249,31 +240,59 @@ def shard_spans(texts: list[str], span: int = SPAN) -> list[tuple[int, int, int,
     automaton = SuffixAutomaton()
     for t in texts:
         automaton.add(t)
-    automaton.mark(texts)
+    streams = [automaton.stream(t, span) for t in texts]
+    holders: dict[int, int] = {}
+    for i, states in enumerate(streams):
+        for state in set(states):
+            holders[state] = holders.get(state, 0) | 1 << i
+    holders[0] = 0
     out = []
-    for i, t in enumerate(texts):
-        current, begin, stop = 0, 0, 0
-        for end, holders in automaton.stream(t, span):
-            if holders == current and end == stop + 1:
+    for i, states in enumerate(streams):
+        current = begin = stop = 0
+        for end, state in enumerate(states, 1):
+            held = holders[state]
+            if held == current:
                 stop = end
                 continue
             if current & (current - 1):
                 out.append((current, i, begin, stop))
-            current, begin, stop = holders, end - span, end
+            current, begin, stop = held, end - span, end
         if current & (current - 1):
             out.append((current, i, begin, stop))
     return out
 
 
-def _automaton_shard(pdf: pd.DataFrame, span: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["r1", "r2"], kind="stable").reset_index(drop=True)
-    h = int(pdf["h"].iloc[0])
-    r1, r2 = pdf["r1"].tolist(), pdf["r2"].tolist()
-    rows = []
-    for holders, i, begin, end in shard_spans(pdf["region"].tolist(), span):
-        name = xxhash.xxh3_128_intdigest(f"{h}:{holders}".encode())
-        rows.append((h, (name >> 64) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63), r1[i], r2[i], begin, end))
-    return pd.DataFrame(rows, columns=["h", "c1", "c2", "r1", "r2", "from", "to"])
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Runs of rows with equal first column, over batch boundaries."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _automaton_rows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """``batches``: ``h, r1, r2, region``, sorted; at most ``SHARD`` rows share an ``h``."""
+    rows: list[tuple] = []
+    for shard in _shards(batches):
+        h = shard[0][0]
+        for holders, i, begin, end in shard_spans([x[3] for x in shard], span):
+            name = xxhash.xxh3_128_intdigest(f"{h}:{holders}".encode())
+            rows.append((h, (name >> 64) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63), shard[i][1], shard[i][2], begin, end))
+        if len(rows) > 20_000:
+            yield _hit_batch(rows)
+            rows = []
+    if rows:
+        yield _hit_batch(rows)
+
+
+def _hit_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "c1", "c2", "r1", "r2", "from", "to"])
 
 
 def _window_rows(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
@@ -291,7 +310,7 @@ def span_members(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, shard
 
     ``texts`` as from :func:`keyed_texts`. The spans of a text's copies count as one member.
     """
-    found = settle(anchors(texts, span, anchor).distinct(), "span-anchors")
+    found = settle(anchors(texts, span, anchor), "span-anchors")
     several = found.groupBy("h").agg(F.min("k1").alias("a1"), F.max("k1").alias("b1"), F.min("k2").alias("a2"), F.max("k2").alias("b2")).where("a1 <> b1 OR a2 <> b2").select("h")
     around = settle(regions(texts, found.join(several, "h", "left_semi"), span, anchor), "span-regions")
     distinct = around.groupBy("h", "r1", "r2").agg(F.first("region").alias("region"))
@@ -301,7 +320,8 @@ def span_members(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, shard
     one = sizes.where("n = 1").select("h")
     same = around.join(one, "h", "left_semi").select(F.col("h").alias("c1"), F.lit(0).cast("bigint").alias("c2"), "k1", "k2", "begin", (F.col("begin") + F.length("region")).alias("end"))
     some = distinct.join(sizes.where(f"n BETWEEN 2 AND {shard}").select("h"), "h", "left_semi")
-    by_automaton = some.groupBy("h").applyInPandas(lambda pdf: _automaton_shard(pdf, span), out_schema)
+    ordered = some.select("h", "r1", "r2", "region").repartition("h").sortWithinPartitions("h", "r1", "r2")
+    by_automaton = ordered.mapInArrow(lambda it: _automaton_rows(it, span), out_schema)
     many = distinct.join(sizes.where(f"n > {shard}").select("h"), "h", "left_semi")
     windows = many.mapInPandas(lambda it: _window_rows(it, span), out_schema)
     hits = by_automaton.unionByName(windows)
