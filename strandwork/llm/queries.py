@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwork.llm import bpe, mixing, sampling, spans
+from strandwork.llm import bpe, mixing, neardup, overlap, packing, sampling, spans
 from strandwork.runtime import table
 
 #: Folder of the public tokenizers' files.
@@ -29,6 +29,34 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stable_sample(table(spark, d, "cached_contact_chain"), SAMPLE_RATE, SAMPLE_SEED)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "cached_contact_chain"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.duplicate_groups(table(spark, d, "cached_contact_chain"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "evaluation_sequences"), table(spark, d, "released_sequences"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "evaluation_sequences"), table(spark, d, "released_sequences"), table(spark, d, "homology_hits"))
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.count_tokens(table(spark, d, "documents"), VOCABULARY)
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_tokens(spark, d), table(spark, d, "stages"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(_tokens(spark, d), table(spark, d, "stages"))
+
+
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), VOCABULARY)
 
@@ -47,7 +75,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_mixture": _p1(mixing.mixture_report),
         "p1_draws": _p1(mixing.mixture_draws),
         "p2_sample": p2_sample,
+        "p3_found": p3_found,
+        "p3_groups": p3_groups,
+        "p4_found": p4_found,
+        "p4_report": p4_report,
         "p5_ids": p5_ids,
+        "p6_pack": p6_pack,
+        "p6_report": p6_report,
         "p7_found": p7_found,
         "p7_shared": p7_shared,
     }
@@ -114,6 +148,56 @@ def p2_sql(rate: float = SAMPLE_RATE, seed: int = SAMPLE_SEED) -> str:
     return f"WITH {', '.join(parts)} SELECT chain_id, l * {1 << sampling.HALF} + r AS permuted FROM {last} WHERE l * {1 << sampling.HALF} + r < {int(rate * (1 << 62))}"
 
 
+def normalised_sql(column: str) -> str:
+    """The canonical form of a sequence column in SQL."""
+    return f"regexp_replace(rtrim(translate(upper(replace({column}, 'ß', 'SS')), ' ' || chr(9) || chr(10) || chr(13), ''), '*'), '[^ACDEFGHIKLMNPQRSTVWYXBUZO]', 'X', 'g')"
+
+
+P3_PAIRS = f"""
+WITH chains AS (SELECT DISTINCT chain_id, {normalised_sql("sequence")} AS s FROM cached_contact_chain WHERE length(sequence) > 0 AND chain_id IS NOT NULL),
+grams AS (SELECT DISTINCT s, substring(s, i::BIGINT, 5) AS g FROM (SELECT DISTINCT s FROM chains), unnest(range(1, length(s) - 3)) AS u(i)),
+sizes AS (SELECT s, count(*) AS n FROM grams GROUP BY s),
+common AS (SELECT a.s AS x, b.s AS y, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.s < b.s GROUP BY ALL),
+alike AS (SELECT x, y FROM common JOIN sizes p ON p.s = x JOIN sizes q ON q.s = y WHERE common.n >= 0.5 * (p.n + q.n - common.n)),
+matches AS (SELECT x, y FROM alike UNION ALL SELECT y, x FROM alike UNION ALL SELECT s, s FROM (SELECT DISTINCT s FROM chains)),
+pairs AS (
+  SELECT DISTINCT a.chain_id AS chain_a, b.chain_id AS chain_b
+  FROM matches m JOIN chains a ON a.s = m.x JOIN chains b ON b.s = m.y WHERE a.chain_id < b.chain_id)"""
+
+P3_FOUND = f"{P3_PAIRS} SELECT chain_a, chain_b FROM pairs"
+
+P4_PAIRS = f"""
+WITH evaluation AS (
+  SELECT DISTINCT evaluation_id AS id, lower(evaluation_sha256) AS sha, {normalised_sql("sequence")} AS s FROM evaluation_sequences
+  UNION SELECT DISTINCT record_id, lower(sha256), {normalised_sql("sequence")} FROM released_sequences WHERE split = 'validation'),
+train AS (SELECT DISTINCT record_id AS id, lower(sha256) AS sha, {normalised_sql("sequence")} AS s FROM released_sequences WHERE split = 'train'),
+e AS (SELECT DISTINCT s, substring(s, i::BIGINT, 5) AS g FROM (SELECT DISTINCT s FROM evaluation), unnest(range(1, length(s) - 3)) AS u(i)),
+t AS (SELECT DISTINCT s, substring(s, i::BIGINT, 5) AS g FROM (SELECT DISTINCT s FROM train), unnest(range(1, length(s) - 3)) AS u(i)),
+sizes AS (SELECT s, count(*) AS n FROM e GROUP BY s),
+near AS (SELECT e.s AS x, t.s AS y FROM e JOIN t ON e.g = t.g JOIN sizes z ON z.s = e.s GROUP BY ALL HAVING count(*) * 5 >= 3 * any_value(z.n)),
+pairs AS (
+  SELECT a.id AS evaluation_id, b.id AS training_id FROM near JOIN evaluation a ON a.s = x JOIN train b ON b.s = y
+  UNION SELECT a.id, b.id FROM evaluation a JOIN train b ON a.sha = b.sha)"""
+
+P4_FOUND = f"{P4_PAIRS} SELECT evaluation_id, training_id FROM pairs"
+
+P4_REPORT = f"""{P4_PAIRS},
+sides AS (
+  SELECT evaluation_id AS id, 'protected' AS origin, split, NULL AS source, lower(evaluation_sha256) AS sha FROM evaluation_sequences
+  UNION ALL SELECT record_id, 'release', split, source, lower(sha256) FROM released_sequences WHERE split = 'validation'),
+recs AS (SELECT id, min(origin) AS origin, min(split) AS split, min(source) AS source, min(sha) AS sha FROM sides GROUP BY id),
+trains AS (SELECT record_id AS id, min(lower(sha256)) AS sha FROM released_sequences WHERE split = 'train' GROUP BY 1),
+claim0 AS (SELECT lower(evaluation_sha256) AS x, lower(training_sha256) AS y, CASE WHEN pident > 1 THEN pident / 100 ELSE pident END AS p FROM homology_hits),
+claims AS (SELECT x, y, max(p) AS p FROM (SELECT * FROM claim0 UNION ALL SELECT y, x, p FROM claim0) GROUP BY x, y),
+detail AS (SELECT evaluation_id, r.sha AS e, t.sha AS t FROM pairs JOIN recs r ON r.id = evaluation_id JOIN trains t ON t.id = training_id),
+per AS (
+  SELECT evaluation_id, count(*) AS pairs, count(*) FILTER (e = t) AS exact, count(c.x) AS claimed, sum(c.p) AS ps, count(c.p) AS pn
+  FROM detail LEFT JOIN claims c ON c.x = e AND c.y = t GROUP BY evaluation_id)
+SELECT origin, split, source, count(*) AS records, count(evaluation_id) AS overlapping_records, coalesce(sum(pairs), 0)::BIGINT AS overlap_pairs,
+       coalesce(sum(exact), 0)::BIGINT AS exact_pairs, coalesce(sum(claimed), 0)::BIGINT AS claimed_pairs, round(sum(ps) / nullif(sum(pn), 0), 6) AS claimed_identity
+FROM recs LEFT JOIN per ON per.evaluation_id = recs.id GROUP BY origin, split, source"""
+
+
 _WINDOWS = f"""
 windows AS (
   SELECT doc_id, i, hash(substring(text, i::BIGINT, {spans.SPAN})) AS h
@@ -139,6 +223,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_mixture": P1_MIXTURE,
         "p1_draws": P1_DRAWS,
         "p2_sample": p2_sql(),
+        "p3_found": P3_FOUND,
+        "p4_found": P4_FOUND,
+        "p4_report": P4_REPORT,
         "p7_found": P7_FOUND,
         "p7_shared": P7_SHARED,
     }
