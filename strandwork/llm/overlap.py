@@ -5,16 +5,19 @@ split. Records are canonicalised (case, white space, trailing marks, foreign cha
 hashed, and the hashes are joined at two grains:
 
 1. *Whole records.* The digests of both sides, without regard to letter case.
-2. *Blocks.* An evaluation record is cut into aligned blocks of ``BLOCK`` residues. A train
-   record that holds at least ``SHARE`` of the evaluation record's distinct ``GRAM``-grams may
-   miss ``U`` of them. An edit or a moved piece breaks ``GRAM - 1`` or more grams but only one
-   block, so at most ``U // (GRAM - 1)`` blocks are broken, and records have more blocks than
-   that: one block stands in the train record, at any offset. Blocks are therefore joined with
-   every window of every train record. Evaluation records for which this doesn't hold (short
-   or repetitive ones) go the exact way: ``U + 1`` of their grams are joined instead, of which
-   one must occur.
-
-Candidates of the second grain are then counted exactly. The train side never shuffles its
+2. *Blocks.* An evaluation record is cut into aligned blocks of ``BLOCK`` residues, and these are
+   joined with every window of every train record, at any offset. Why a block must stand in any
+   train record that holds at least ``SHARE`` of the distinct ``GRAM``-grams: such a record may miss
+   ``U`` of them. An edit, or a joint of moved pieces, breaks one block and at least ``GRAM - 1``
+   grams; each end of the matching stretch may cut one more block for a single gram. So at most
+   ``2 + (U - 2) // (GRAM - 1)`` blocks are broken, and most records have more. Where they don't
+   (short or repetitive records), all windows of the evaluation record are joined instead: its
+   shared grams form at most ``U // (GRAM - 2) + 1`` runs (an insertion that repeats its neighbour
+   breaks one gram less), so one run is long enough to hold a window. Where even that proves nothing (a few residues, or one repeated motif), the record goes
+   the exact way: ``U + 1`` of its grams are joined, of which one must occur.
+
+A record keeps more blocks than it needs; of blocks that very many train records hold, it leaves
+out as many as it can spare. Candidates of the second grain are then counted exactly. The train side never shuffles its
 windows: a bit map over the evaluation blocks (of bounded size) is
 broadcast and drops nearly all windows in the scan. Beyond its bound the map only lets more
 windows through; nothing is lost.
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.hashing import content_key
@@ -43,6 +46,7 @@ GRAM = 5
 BLOCK = 8
 SHARE = (3, 5)  # 0.6 as a fraction
 GRAM_TAG = 1 << 60
+HOT = 1000
 BATCH_RESIDUES = 1 << 20
 
 _CODES = np.zeros(256, dtype=np.uint64)
@@ -63,33 +67,30 @@ def needed(grams: int) -> int:
     return -(-grams * SHARE[0] // SHARE[1])
 
 
-def evaluation_keys(sequence: str) -> list[int]:
-    """The join keys of one evaluation record: blocks, or tagged grams where blocks prove nothing."""
+def evaluation_keys(sequence: str) -> tuple[list[int], int]:
+    """The join keys of one evaluation record, and how many of them it can spare.
+
+    Keys are aligned blocks, all windows, or tagged grams: the first of them that finds every
+    matching train record by the count argument of the module. Any ``spare`` of the aligned
+    blocks may be left out.
+    """
     if len(sequence) < GRAM:
-        return []
+        return [], 0
     codes = _CODES[np.frombuffer(sequence.encode("ascii"), dtype=np.uint8)]
-    if len(codes) < BLOCK:
-        grams = _short_grams(codes)
-        blocks: list[int] = []
-    else:
-        grams, every = packed_windows(codes)
-        at = range(0, len(codes) - BLOCK + 1, BLOCK)
-        if len(np.unique(grams)) == len(grams):
-            blocks = every[at.start : at.stop : BLOCK].tolist()
-        else:
-            # grams that recur could break several blocks at once: use blocks without common grams
-            used: set[int] = set()
-            blocks = []
-            for i in at:
-                own = set(grams[i : i + BLOCK - GRAM + 1].tolist())
-                if not own & used:
-                    used |= own
-                    blocks.append(int(every[i]))
+    grams, every = packed_windows(codes) if len(codes) >= BLOCK else (_short_grams(codes), codes[:0])
     distinct = np.unique(grams)
-    missing = len(distinct) - needed(len(distinct))
-    if len(blocks) > missing // (GRAM - 1):
-        return blocks
-    return [GRAM_TAG | int(g) for g in distinct[: missing + 1]]
+    shared = needed(len(distinct))
+    missing = len(distinct) - shared
+    # grams that recur may be missing at each of their places
+    lost = missing + len(grams) - len(distinct)
+    broken = max(ends + (lost - ends) // (GRAM - 1) for ends in range(min(2, lost) + 1))
+    blocks = every[::BLOCK]
+    if len(blocks) > broken:
+        return blocks.tolist(), len(blocks) - broken - 1
+    runs = lost // (GRAM - 2) + 1
+    if -(-shared // runs) + GRAM - 1 >= BLOCK:
+        return np.unique(every).tolist(), 0
+    return [GRAM_TAG | int(g) for g in distinct[: missing + 1]], 0
 
 
 def _short_grams(codes: np.ndarray) -> np.ndarray:
@@ -183,6 +184,20 @@ def digest_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
     return left.join(right, "digest").select("eval_id", "record_id").distinct()
 
 
+def without_hot_keys(keys: DataFrame, windows: DataFrame, hot: int = HOT) -> DataFrame:
+    """``keys`` without the most frequent ones that their records can spare.
+
+    Only keys held by more than ``hot`` train classes are dropped (a stretch common to very
+    many records says little and would pair them all); a record keeps enough keys to be found.
+    """
+    frequent = settle(windows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "overlap-hot")
+    if frequent.isEmpty():
+        return keys
+    order = Window.partitionBy("k1", "k2").orderBy(F.desc_nulls_last("n"), "key")  # the keys of one record
+    rated = keys.join(frequent, "key", "left").withColumn("rn", F.row_number().over(order))
+    return rated.where("n IS NULL OR rn > spare").drop("n", "rn")
+
+
 def near_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
     """``eval_id, record_id`` where the train record holds enough of the evaluation record's grams."""
     side = settle(_keyed(evaluation_side(evaluation, released), "eval_id"), "overlap-evaluation")
@@ -190,14 +205,16 @@ def near_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "key": [evaluation_keys(s) for s in pdf["norm"]]}).explode("key").dropna().astype({"key": "int64"})
+            found = [evaluation_keys(s) for s in pdf["norm"]]
+            out = pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "key": [k for k, _ in found], "spare": [n for _, n in found]})
+            yield out.explode("key").dropna().astype({"key": "int64"})
 
-    keys = settle(spread(classes).mapInPandas(keyed, "k1 long, k2 long, key long").distinct(), "overlap-keys")
+    keys = settle(spread(classes).mapInPandas(keyed, "k1 long, k2 long, key long, spare int").distinct(), "overlap-keys")
     total, tagged = keys.agg(F.count("*"), F.count_if(F.col("key") >= GRAM_TAG)).first()
     bits = bits_for(total)
     hits = settle(train_hits(_keyed(train_side(released), "record_id"), bit_map(keys, bits), bits, tagged > 0), "overlap-hits")
     windows = hits.select("k1", "k2", F.explode("keys").alias("key")).distinct()
-    named = keys.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), "key")
+    named = without_hot_keys(keys, windows).select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), "key")
     candidates = windows.join(named, "key").select("e1", "e2", "k1", "k2").distinct()
     with_train = candidates.join(hits.groupBy("k1", "k2").agg(F.first("norm").alias("t_norm")), ["k1", "k2"])
     with_both = with_train.join(classes.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("norm").alias("e_norm")), ["e1", "e2"])

@@ -127,7 +127,7 @@ def pack(tokens: DataFrame, stages: DataFrame, exchanges: int = EXCHANGES, per_p
     sizes = stages.where("context_length > 0 AND name IS NOT NULL").groupBy(F.col("name").alias("stage")).agg(F.max("context_length").alias("capacity"))
     n, c = F.coalesce(F.col("n_tokens"), F.lit(0)), F.col("capacity")
     pieces = F.greatest(F.lit(1), F.ceil(n / c)).cast("int")
-    items = tokens.join(F.broadcast(sizes)).select("stage", "capacity", "doc_id", n.alias("all"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    items = tokens.select("doc_id", "n_tokens").join(F.broadcast(sizes)).select("stage", "capacity", "doc_id", n.alias("all"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     items = items.select("stage", "capacity", "doc_id", "piece", F.least(F.col("capacity"), F.col("all") - F.col("piece") * F.col("capacity")).cast("int").alias("n_tokens"))
     items = settle(items, "pack-items")
     whole = items.where("n_tokens = capacity")
