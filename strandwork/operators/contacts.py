@@ -142,3 +142,22 @@ def cache_checks(chains: DataFrame) -> DataFrame:
         F.count_if(F.col("source_payload_sha256").isNull()).alias("no_payload"),
     )
 
+
+
+def contact_flag(distance: Column, threshold: float) -> Column:
+    """Resolved (neither null nor NaN) and nearer than the threshold."""
+    return F.coalesce(~F.isnan(distance) & (distance < threshold), F.lit(False))
+
+
+def packed_flags(pairs: DataFrame, flag: str) -> DataFrame:
+    """``chain, n_pairs, bits``: flags of a chain's pairs in row-major order, eight to a byte, least bit first, as hex.
+
+    Ordinals are taken inside a chain (a bounded group).
+    """
+    order = Window.partitionBy("chain").orderBy("i", "j")
+    at = F.row_number().over(order) - 1
+    placed = pairs.select("chain", F.floor(at / 8).alias("byte"), F.pmod(at, F.lit(8)).alias("bit"), F.col(flag).cast("int").alias("on"))
+    value = F.sum(F.col("on") * F.pow(F.lit(2), F.col("bit")).cast("int"))
+    each = placed.groupBy("chain", "byte").agg(value.alias("value"), F.count("*").alias("n"))
+    hexed = F.struct("byte", F.lower(F.lpad(F.hex("value"), 2, "0")).alias("h"))
+    return each.groupBy("chain").agg(F.sum("n").alias("n_pairs"), F.array_join(F.transform(F.sort_array(F.collect_list(hexed)), lambda x: x["h"]), "").alias("bits"))

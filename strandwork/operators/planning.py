@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.operators.ordering import ranked
+from strandwork.operators.sampling import exposure
 from strandwork.runtime import settle
 
 RECORD_BYTES = 44  # a store's index entry; a residue takes one byte
@@ -119,20 +120,23 @@ def storage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "split").agg(F.count("*").alias("records"), size.alias("residues"), (size + F.count("*") * RECORD_BYTES).alias("store_bytes"))
 
 
-def coverage(stages: DataFrame, global_rows: DataFrame, supply: DataFrame, headroom: float = 0.01) -> DataFrame:
-    """Expected draws per stage and source against the records there are.
+def coverage(stages: DataFrame, global_rows: DataFrame, supply: DataFrame, world: int = 4, headroom: float = 0.01) -> DataFrame:
+    """Expected draws per stage and source against the records not yet seen.
 
-    Draws: the stage's sequences (budget over context, upwards) times the share, plus headroom,
-    upwards. ``sufficient``: enough records, or resampling is allowed for that stage and source.
+    Draws: the stage's sequences (budget over context, upwards) times the share. ``required``
+    adds the headroom and rounds up to whole rounds of the ranks. ``consumed`` are the unique
+    records that the latest saved state has seen. ``sufficient``: enough unseen records, and
+    at least one per rank; ``blocked``: insufficient, and resampling isn't allowed there.
     """
     known = F.filter(F.map_entries("mixture"), lambda e: e["value"].isNotNull())
     total = F.aggregate(known, F.lit(0.0), lambda a, e: a + e["value"])
     entries = stages.select(F.col("name").alias("stage"), "context_length", "budget_residues", total.alias("total"), F.explode(known).alias("e")).where("total > 0 AND context_length > 0")
     sequences = F.ceil(F.col("budget_residues") / F.col("context_length"))
-    draws = F.ceil(F.round(sequences * F.col("e.value") / F.col("total") * F.lit(1 + headroom), 6))
-    wanted = entries.select("stage", F.col("e.key").alias("source"), draws.alias("draws")).distinct()
+    wanted = entries.select("stage", F.col("e.key").alias("source"), F.round(sequences * F.col("e.value") / F.col("total"), 6).alias("expected_draws")).distinct()
     policy = global_rows.groupBy("stage", "source").agg(F.coalesce(F.bool_or("allow_resampling"), F.lit(False)).alias("allowed"))
-    joined = wanted.join(policy, ["stage", "source"], "left").join(supply, "source", "left")
-    available = F.coalesce("records", F.lit(0))
-    allowed = F.coalesce("allowed", F.lit(False))
-    return joined.select("stage", "source", "draws", available.alias("available"), F.greatest(available - F.col("draws"), F.lit(0)).alias("unused"), allowed.alias("allowed"), ((available >= F.col("draws")) | (allowed & (available > 0))).alias("sufficient"))
+    seen = exposure(global_rows).select("stage", "source", "unique_records")
+    joined = wanted.join(policy, ["stage", "source"], "left").join(seen, ["stage", "source"], "left").join(supply, "source", "left")
+    available, allowed = F.coalesce("records", F.lit(0)), F.coalesce("allowed", F.lit(False))
+    rows = joined.select("stage", "source", "expected_draws", (F.ceil(F.round(F.col("expected_draws") * (1 + headroom) / world, 6)) * world).alias("required"), available.alias("available"), F.least(F.coalesce("unique_records", F.lit(0)), available).alias("consumed"), allowed.alias("allowed"))
+    enough = (F.col("available") - F.col("consumed") >= F.col("required")) & (F.col("available") >= world)
+    return rows.withColumn("unused", F.col("available") - F.col("consumed")).withColumn("exposures", F.round(F.col("expected_draws") / F.nullif(F.col("available"), F.lit(0)), 6)).withColumn("sufficient", enough).withColumn("blocked", ~enough & ~F.col("allowed"))

@@ -10,7 +10,7 @@ from strandwork.operators import corpus, masking, planning
 from strandwork.operators.ordering import ranked
 from strandwork.plans.registry import query
 from strandwork.plans.sql import HITS, LETTERS, PROTECTED, RECORDS
-from strandwork.runtime import table
+from strandwork.runtime import settle, table
 
 
 def _released(spark, d) -> DataFrame:
@@ -299,13 +299,46 @@ def storage_estimate(spark, d):
     "data_coverage",
     f"""WITH {RECORDS}, w AS (SELECT DISTINCT name AS stage, e.key AS source, e.value AS weight, list_sum(list_filter(map_values(mixture), lambda v: v IS NOT NULL)) AS total, ceil(budget_residues / context_length) AS sequences
       FROM stages, unnest(map_entries(mixture)) AS u(e) WHERE e.value IS NOT NULL AND context_length > 0),
-    q AS (SELECT stage, source, ceil(round(sequences * weight / total * 1.01::DOUBLE, 6))::BIGINT AS draws FROM w WHERE total > 0),
+    q AS (SELECT stage, source, round(sequences * weight / total, 6) AS expected_draws FROM w WHERE total > 0),
     pol AS (SELECT stage, source, coalesce(bool_or(allow_resampling), false) AS allowed FROM global_rows GROUP BY 1, 2),
-    s AS (SELECT source, count(*) AS records FROM r WHERE split = 'train' GROUP BY 1)
-    SELECT q.stage, q.source, draws, coalesce(records, 0) AS available, greatest(coalesce(records, 0) - draws, 0) AS unused, coalesce(allowed, false) AS allowed,
-           (coalesce(records, 0) >= draws) OR (coalesce(allowed, false) AND coalesce(records, 0) > 0) AS sufficient
-    FROM q LEFT JOIN pol ON pol.stage = q.stage AND pol.source = q.source LEFT JOIN s ON s.source = q.source""",
+    g AS (SELECT *, coalesce((json_extract_string(origin, '$.prior'))::BIGINT, 0) AS prior, row_number() OVER (PARTITION BY stage, source ORDER BY saved_at DESC, seed DESC, epoch DESC, epoch_cursor DESC, size DESC) AS rn FROM global_rows),
+    seen AS (SELECT stage, source, least(prior + epoch * size + epoch_cursor, size) AS u FROM g WHERE rn = 1),
+    s AS (SELECT source, count(*) AS records FROM r WHERE split = 'train' GROUP BY 1),
+    f AS (SELECT q.stage, q.source, expected_draws, (ceil(round(expected_draws * 1.01::DOUBLE / 4, 6)) * 4)::BIGINT AS required, coalesce(records, 0) AS available, least(coalesce(u, 0), coalesce(records, 0)) AS consumed, coalesce(allowed, false) AS allowed
+      FROM q LEFT JOIN pol ON pol.stage = q.stage AND pol.source = q.source LEFT JOIN seen ON seen.stage = q.stage AND seen.source = q.source LEFT JOIN s ON s.source = q.source)
+    SELECT *, available - consumed AS unused, round(expected_draws / nullif(available, 0), 6) AS exposures, available - consumed >= required AND available >= 4 AS sufficient, NOT (available - consumed >= required AND available >= 4) AND NOT allowed AS blocked FROM f""",
 )
 def data_coverage(spark, d):
     supply = _released(spark, d).where("split = 'train' AND record_id IS NOT NULL AND source IS NOT NULL").groupBy("source").agg(F.countDistinct("record_id").alias("records"))
     return planning.coverage(table(spark, d, "stages"), table(spark, d, "global_rows"), supply)
+
+
+@query(
+    "plan_prefix_check",
+    f"""{packed_sql(SHARD_CAP)}, a AS (SELECT source, shard, records FROM shards), p AS (SELECT source, shard, records FROM shards WHERE shard < 3)
+    SELECT count(*) AS planned, count(*) FILTER (a.records IS DISTINCT FROM p.records) AS different, (SELECT count(*) FROM a) - count(*) AS unplanned FROM p LEFT JOIN a ON a.source = p.source AND a.shard = p.shard""",
+)
+def plan_prefix_check(spark, d):
+    """A plan's shards must be the release's first ones of each source, in order."""
+    shards = settle(packed(spark, d).select("source", "shard", "records"), "shards")
+    planned = shards.where("shard < 3").withColumnRenamed("records", "wanted")
+    both = shards.join(planned, ["source", "shard"], "full_outer")
+    return both.agg(F.count("wanted").alias("planned"), F.count_if(F.col("wanted").isNotNull() & ~F.col("wanted").eqNullSafe(F.col("records"))).alias("different"), F.count_if(F.col("wanted").isNull()).alias("unplanned"))
+
+
+@query(
+    "config_differences",
+    """WITH kv AS (SELECT name, unnest(['context_length', 'micro_batch_size', 'gradient_accumulation', 'budget_residues', 'mixture.uniref90', 'mixture.mgnify']) AS key,
+      unnest([context_length::VARCHAR, micro_batch_size::VARCHAR, gradient_accumulation::VARCHAR, budget_residues::VARCHAR, round(mixture['uniref90'], 4)::VARCHAR, round(mixture['mgnify'], 4)::VARCHAR]) AS value FROM stages)
+    SELECT coalesce(a.key, b.key) AS key, a.value AS old, b.value AS new FROM (SELECT * FROM kv WHERE name = 'base_512') a FULL JOIN (SELECT * FROM kv WHERE name = 'polish_512') b ON a.key = b.key
+    WHERE a.value IS DISTINCT FROM b.value AND coalesce(a.key, b.key) NOT IN ('budget_residues')""",
+)
+def config_differences(spark, d):
+    """Settings in which two stages differ, but for the budget."""
+    from strandwork.operators.contracts import config_differences as differences
+
+    plain = ["context_length", "micro_batch_size", "gradient_accumulation", "budget_residues"]
+    entries = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in plain]
+    entries += [F.struct(F.lit(f"mixture.{s}").alias("key"), F.round(F.try_element_at("mixture", F.lit(s)), 4).cast("string").alias("value")) for s in ("uniref90", "mgnify")]
+    kv = table(spark, d, "stages").select("name", F.explode(F.array(*entries)).alias("e")).select("name", "e.key", "e.value")
+    return differences(kv.where("name = 'base_512'"), kv.where("name = 'polish_512'"), ["budget_residues"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.operators import contacts, reports
+from strandwork.functions.sequence import normalised
+from strandwork.operators import contacts, contracts, reports
+from strandwork.operators.ordering import ranked
 from strandwork.plans.registry import query
-from strandwork.plans.sql import key, u52
+from strandwork.plans.sql import key, norm, u52
 from strandwork.runtime import settle, table
 from strandwork.streaming import ingest
 
@@ -201,3 +203,96 @@ def event_windows(spark, d):
     stream = ingest.event_windows(ingest.table_stream(spark, d, "events"), "ts", "6 hours", "1 hour")
     done = ingest.drain(stream, "windows")
     return done.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total", 4).alias("total"))
+
+
+@query(
+    "contact_distances",
+    f"""WITH {_PAIRS}, x AS (SELECT chain, CASE WHEN score > 1 THEN 'nan'::DOUBLE ELSE sqrt(2 - 2 * score) END AS d FROM pr)
+    SELECT chain, count(*) AS pairs, count(*) FILTER (NOT isnan(d)) AS resolved, count(*) FILTER (NOT isnan(d) AND d < 1.2) AS contacts FROM x GROUP BY chain""",
+)
+def contact_distances(spark, d):
+    """Contacts by distance; pairs whose distance is not a number are unresolved."""
+    distance = F.when(F.col("score") > 1, F.lit(float("nan"))).otherwise(F.sqrt(2 - 2 * F.col("score")))
+    rows = _pairs(spark, d).withColumn("d", distance)
+    return rows.groupBy("chain").agg(F.count("*").alias("pairs"), F.count_if(~F.isnan("d")).alias("resolved"), F.count_if(contacts.contact_flag(F.col("d"), 1.2)).alias("contacts"))
+
+
+@query(
+    "packed_masks",
+    f"""WITH {_PAIRS}, o AS (SELECT chain, contact, row_number() OVER (PARTITION BY chain ORDER BY i, j) - 1 AS k FROM pr), b AS (SELECT chain, k // 8 AS byte, sum(contact::INT << (k % 8)::INT)::INT AS v, count(*) AS n FROM o GROUP BY ALL)
+    SELECT chain, sum(n)::BIGINT AS n_pairs, string_agg(printf('%02x', v), '' ORDER BY byte) AS bits FROM b GROUP BY chain""",
+)
+def packed_masks(spark, d):
+    return contacts.packed_flags(_pairs(spark, d), "contact")
+
+
+@query(
+    "probe_pipeline",
+    f"""WITH {_PAIRS}, z AS (SELECT chain, count(*) AS n FROM pt GROUP BY chain), sc AS (SELECT pr.*, round(0.5 * a.embedding[1]::DOUBLE * b.embedding[1]::DOUBLE - 0.25 * a.embedding[9]::DOUBLE * b.embedding[9]::DOUBLE, 9) AS s
+      FROM pr JOIN pt a ON a.chain = pr.chain AND a.pos = pr.i JOIN pt b ON b.chain = pr.chain AND b.pos = pr.j),
+    o AS (SELECT sc.chain, contact, n, row_number() OVER (PARTITION BY sc.chain ORDER BY s DESC, i, j) AS rn FROM sc JOIN z ON z.chain = sc.chain)
+    SELECT chain, max(n) AS chain_length, round(avg(contact::INT) FILTER (rn <= n), 6) AS precision_at_l, count(*) AS eligible_pair_count, count(*) FILTER (contact) AS contacts FROM o GROUP BY chain""",
+)
+def probe_pipeline(spark, d):
+    """Pairs, a sparse probe score over pair features, and precision at L, in one plan."""
+    points = _points(spark, d)
+    a = points.select("chain", F.col("pos").alias("i"), F.col("label").alias("la"), F.col("embedding").alias("ea"))
+    b = points.select("chain", F.col("pos").alias("j"), F.col("label").alias("lb"), F.col("embedding").alias("eb"))
+    feature = lambda k: F.element_at("ea", k).cast("double") * F.element_at("eb", k).cast("double")
+    scored = a.join(b, "chain").where("j - i >= 24").select("chain", "i", "j", F.round(0.5 * feature(1) - 0.25 * feature(9), 9).alias("score"), F.coalesce(F.col("la") == F.col("lb"), F.lit(False)).alias("contact"))
+    sizes = points.groupBy("chain").agg(F.count("*").alias("chain_length"))
+    order = Window.partitionBy("chain").orderBy(F.desc("score"), "i", "j")
+    best = scored.join(sizes, "chain").withColumn("rn", F.row_number().over(order))
+    top = F.when(F.col("rn") <= F.col("chain_length"), F.col("contact").cast("int"))
+    return best.groupBy("chain").agg(F.max("chain_length").alias("chain_length"), F.round(F.avg(top), 6).alias("precision_at_l"), F.count("*").alias("eligible_pair_count"), F.count_if("contact").alias("contacts"))
+
+
+_UNITS = f"u AS (SELECT DISTINCT split, evaluation_id, {norm('sequence')} AS s FROM evaluation_sequences WHERE sequence IS NOT NULL)"
+
+
+@query(
+    "mask_cache",
+    f"""WITH {_UNITS}, o AS (SELECT split, evaluation_id, length(s) AS length, row_number() OVER (ORDER BY length(s), evaluation_id) - 1 AS place FROM u)
+    SELECT evaluation_id, split, length, place, place // 16 AS batch, (place // 16) % 4 AS worker FROM o""",
+)
+def mask_cache(spark, d):
+    """The evaluation units in scoring order: by length, then id; batches of 16 dealt to 4 workers."""
+    units = table(spark, d, "evaluation_sequences").where("sequence IS NOT NULL").select("split", "evaluation_id", F.length(normalised(F.col("sequence"))).alias("length"), normalised(F.col("sequence")).alias("s")).distinct()
+    placed = ranked(units, [], ["length", "evaluation_id"]).withColumn("place", F.col("rn") - 1)
+    return placed.select("evaluation_id", "split", "length", "place", F.floor(F.col("place") / 16).alias("batch"), F.pmod(F.floor(F.col("place") / 16), F.lit(4)).alias("worker"))
+
+
+@query(
+    "population_digest",
+    f"WITH {_UNITS} SELECT split, count(*) AS units, sha256(string_agg(evaluation_id::VARCHAR || ':' || sha256(s), chr(10) ORDER BY evaluation_id, s)) AS digest FROM u GROUP BY split",
+)
+def population_digest(spark, d):
+    """An order-sensitive digest of each protected population (its size is fixed, not the corpus's)."""
+    units = table(spark, d, "evaluation_sequences").where("sequence IS NOT NULL").select("split", "evaluation_id", normalised(F.col("sequence")).alias("s")).distinct()
+    listed = F.sort_array(F.collect_list(F.struct("evaluation_id", "s")))
+    text = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["evaluation_id"].cast("string"), F.sha2(x["s"], 256))), "\n")
+    return units.groupBy("split").agg(F.count("*").alias("units"), F.sha2(text, 256).alias("digest"))
+
+
+@query(
+    "training_arithmetic",
+    """WITH c AS (SELECT * FROM (VALUES (768, 24, 170671168, 560000.0), (512, 16, 60000000, 900000.0), (960, 30, 330000000, 300000.0)) v(w, n, p, t))
+    SELECT w AS width, n AS layers, round((6e-4::DOUBLE * 512 / w * sqrt(16.0::DOUBLE / n)), 9) AS learning_rate, round(6e-4::DOUBLE * 0.01 / (6e-4::DOUBLE * 512 / w * sqrt(16.0::DOUBLE / n)), 9) AS weight_decay,
+           round(6 * p::DOUBLE * t::DOUBLE / (989e12::DOUBLE * 4), 6) AS utilisation FROM c""",
+)
+def training_arithmetic(spark, d):
+    """Transferred rates and model-FLOPs utilisation of three encoder sizes."""
+    rows = [(768, 24, 170671168, 560000.0), (512, 16, 60000000, 900000.0), (960, 30, 330000000, 300000.0)]
+    out = [(w, n, *(round(x, 9) for x in contracts.transfer_rates(w, n)), round(contracts.utilisation(p, t, 989, 4), 6)) for w, n, p, t in rows]
+    return spark.createDataFrame(out, "width int, layers int, learning_rate double, weight_decay double, utilisation double")
+
+
+@query(
+    "subset_coverage",
+    "WITH e AS (SELECT DISTINCT chain_id FROM evaluation_sequences WHERE chain_id IS NOT NULL), c AS (SELECT DISTINCT chain_id FROM cached_contact_chain) SELECT count(*) AS wanted, count(*) FILTER (chain_id IN (SELECT chain_id FROM c)) AS held, count(*) FILTER (chain_id NOT IN (SELECT chain_id FROM c WHERE chain_id IS NOT NULL)) AS missing FROM e",
+)
+def subset_coverage(spark, d):
+    """How many of the evaluation's chains the scoring cache holds."""
+    wanted = table(spark, d, "evaluation_sequences").where("chain_id IS NOT NULL").select("chain_id").distinct()
+    held = table(spark, d, "cached_contact_chain").select("chain_id").distinct().withColumn("held", F.lit(True))
+    return wanted.join(held, "chain_id", "left").agg(F.count("*").alias("wanted"), F.count("held").alias("held"), F.count_if(F.col("held").isNull()).alias("missing"))

@@ -63,13 +63,24 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy Python stage at least as many tasks as there are cores.
 
-    A no-op on inputs that already have enough splits; a small single-file table is
-    redistributed round-robin.
+    For scans. A no-op on inputs that already have enough splits; a small single-file table is
+    redistributed round-robin. Behind a shuffle use :func:`fan_out`.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows, by ``keys`` or round-robin, over a fixed number of tasks before CPU-heavy Python work.
+
+    After a shuffle AQE sizes tasks by bytes, and would give a small but costly table to one
+    task. A repartition with a number is left as it is.
+    """
+    spark = df.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder: ``<sf_dir>/<name>.parquet`` (a file or a folder of files)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
