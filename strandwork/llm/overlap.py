@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from strandwork.functions.hashing import content_key
 from strandwork.functions.sequence import RESIDUES, normalised
 from strandwork.llm.bits import bit_map, bits_for, present
-from strandwork.runtime import settle, spread
+from strandwork.runtime import fan_out, settle, spread
 
 GRAM = 5
 BLOCK = 8
@@ -209,7 +209,7 @@ def near_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
             out = pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "key": [k for k, _ in found], "spare": [n for _, n in found]})
             yield out.explode("key").dropna().astype({"key": "int64"})
 
-    keys = settle(spread(classes).mapInPandas(keyed, "k1 long, k2 long, key long, spare int").distinct(), "overlap-keys")
+    keys = settle(fan_out(classes).mapInPandas(keyed, "k1 long, k2 long, key long, spare int").distinct(), "overlap-keys")
     total, tagged = keys.agg(F.count("*"), F.count_if(F.col("key") >= GRAM_TAG)).first()
     bits = bits_for(total)
     hits = settle(train_hits(_keyed(train_side(released), "record_id"), bit_map(keys, bits), bits, tagged > 0), "overlap-hits")

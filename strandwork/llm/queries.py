@@ -29,6 +29,10 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stable_sample(table(spark, d, "cached_contact_chain"), SAMPLE_RATE, SAMPLE_SEED)
 
 
+def p2_stability(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_stability(table(spark, d, "cached_contact_chain"), SAMPLE_RATE, SAMPLE_SEED)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "cached_contact_chain"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_mixture": _p1(mixing.mixture_report),
         "p1_draws": _p1(mixing.mixture_draws),
         "p2_sample": p2_sample,
+        "p2_stability": p2_stability,
         "p3_found": p3_found,
         "p3_groups": p3_groups,
         "p4_found": p4_found,
@@ -198,6 +203,12 @@ SELECT origin, split, source, count(*) AS records, count(evaluation_id) AS overl
 FROM recs LEFT JOIN per ON per.evaluation_id = recs.id GROUP BY origin, split, source"""
 
 
+P2_STABILITY = f"""
+WITH chosen AS ({p2_sql()}), span AS (SELECT epoch(min(cached_at)) / 2 + epoch(max(cached_at)) / 2 AS m FROM cached_contact_chain),
+early AS (SELECT DISTINCT chain_id FROM cached_contact_chain, span WHERE epoch(cached_at) <= m AND chain_id IN (SELECT chain_id FROM chosen))
+SELECT (SELECT count(*) FROM chosen) AS selected, count(*) AS early_selected, count(*) AS kept, (SELECT count(*) FROM chosen) - count(*) AS added FROM early"""
+
+
 _WINDOWS = f"""
 windows AS (
   SELECT doc_id, i, hash(substring(text, i::BIGINT, {spans.SPAN})) AS h
@@ -223,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_mixture": P1_MIXTURE,
         "p1_draws": P1_DRAWS,
         "p2_sample": p2_sql(),
+        "p2_stability": P2_STABILITY,
         "p3_found": P3_FOUND,
         "p4_found": P4_FOUND,
         "p4_report": P4_REPORT,

@@ -67,3 +67,16 @@ def stable_sample(df: DataFrame, rate: float, seed: int = 20260820, key: str = "
     limit = int(max(0.0, min(1.0, rate)) * (1 << 62))
     ids = df.select(F.col(key).alias("chain_id")).where(F.col(key).isNotNull()).distinct()
     return ids.withColumn("permuted", permuted(chain_number(F.col("chain_id")), seed)).where(F.col("permuted") < F.lit(limit))
+
+
+def sample_stability(df: DataFrame, rate: float, seed: int = 20260820, key: str = "chain_id", time: str = "cached_at") -> DataFrame:
+    """One row: the sample of the rows up to the middle of the time span, and what became of it in the whole.
+
+    ``kept`` of the ``early_selected`` ids are selected in the whole table too (all of them),
+    ``added`` come from ids that arrived later. Rows without a time count as late.
+    """
+    middle = df.agg((F.min(time).cast("timestamp").cast("double") / 2 + F.max(time).cast("timestamp").cast("double") / 2).alias("m"))
+    early = df.join(F.broadcast(middle)).where(F.col(time).cast("timestamp").cast("double") <= F.col("m"))
+    part = stable_sample(early, rate, seed, key).select("chain_id", F.lit(True).alias("early"))
+    both = stable_sample(df, rate, seed, key).select("chain_id", F.lit(True).alias("whole")).join(part, "chain_id", "full_outer")
+    return both.agg(F.count("whole").alias("selected"), F.count("early").alias("early_selected"), F.count_if(F.col("early") & F.col("whole")).alias("kept"), F.count_if(F.col("whole") & F.col("early").isNull()).alias("added"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions.hashing import content_key
 from strandwork.llm.bits import bit_map, bits_for, thin
-from strandwork.runtime import settle, spread
+from strandwork.runtime import fan_out, settle, spread
 
 SPAN = 200
 ANCHOR = 128
@@ -320,7 +320,7 @@ def span_members(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, shard
     one = sizes.where("n = 1").select("h")
     same = around.join(one, "h", "left_semi").select(F.col("h").alias("c1"), F.lit(0).cast("bigint").alias("c2"), "k1", "k2", "begin", (F.col("begin") + F.length("region")).alias("end"))
     some = distinct.join(sizes.where(f"n BETWEEN 2 AND {shard}").select("h"), "h", "left_semi")
-    ordered = some.select("h", "r1", "r2", "region").repartition("h").sortWithinPartitions("h", "r1", "r2")
+    ordered = fan_out(some.select("h", "r1", "r2", "region"), "h").sortWithinPartitions("h", "r1", "r2")
     by_automaton = ordered.mapInArrow(lambda it: _automaton_rows(it, span), out_schema)
     many = distinct.join(sizes.where(f"n > {shard}").select("h"), "h", "left_semi")
     windows = many.mapInPandas(lambda it: _window_rows(it, span), out_schema)
