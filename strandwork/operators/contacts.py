@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.hashing import hash52, hex_rank
+from strandwork.operators.ordering import ranked
 
 SEPARATION = 24
 
@@ -82,13 +83,13 @@ def probe_scores(embeddings: DataFrame, coefficients: dict[int, float], intercep
 def average_precision(scored: DataFrame) -> DataFrame:
     """Average precision of ``score`` for ``target`` per ``grp``; equal scores share one threshold.
 
-    Rows are first counted per distinct score, and the window runs over those.
+    Rows are first counted per distinct score; the running counts are taken over range
+    partitions, so a group may have any number of scores. Null scores come last.
     """
-    per = scored.groupBy("grp", "score").agg(F.count_if("target").alias("tp"), F.count("*").alias("n"))
-    order = Window.partitionBy("grp").orderBy(F.desc("score"))
-    total = F.sum("tp").over(Window.partitionBy("grp"))
-    step = F.col("tp") / F.nullif(total, F.lit(0)) * F.sum("tp").over(order) / F.sum("n").over(order)
-    return per.withColumn("step", step).groupBy("grp").agg(F.round(F.sum("step"), 6).alias("average_precision"), F.sum("tp").alias("positives"), F.sum("n").alias("rows"))
+    per = scored.groupBy("grp", "score").agg(F.count_if("target").alias("tp"), F.count("*").alias("n")).withColumn("down", F.coalesce(-F.col("score"), F.lit(float("inf"))))
+    upto = lambda c: F.col(c) + F.col(f"before_{c}")
+    weighted = F.sum(F.col("tp") * upto("tp") / upto("n")) / F.nullif(F.sum("tp"), F.lit(0))
+    return ranked(per, ["grp"], ["down"], ["tp", "n"]).groupBy("grp").agg(F.round(weighted, 6).alias("average_precision"), F.sum("tp").alias("positives"), F.sum("n").alias("rows"))
 
 
 def bootstrap_interval(values: DataFrame, replicates: int, seed: int) -> DataFrame:

@@ -139,6 +139,28 @@ def resume_problems(saved: Mapping[str, Any], wanted: Mapping[str, Any], old_wor
     return out
 
 
+def budget_problems(config: Mapping[str, Any]) -> list[str]:
+    """What is wrong with a run's step and token budgets; empty if they are consistent.
+
+    The schedule's length defaults to the step cap and may not exceed it, unless the run
+    continues from a start step, which both must exceed. A token budget is a positive whole
+    number and needs a single constant first stage.
+    """
+    cap = config.get("max_steps")
+    length, start = config.get("schedule_steps", cap), config.get("schedule_start_step", 0)
+    tokens, stages = config.get("max_model_tokens"), config.get("stages", [])
+    positive = number(1, whole=True)
+    checks = [
+        ("max_steps", cap is None or positive(cap)),
+        ("schedule_steps", length is None or positive(length)),
+        ("schedule_start_step", not start or (start > 0 and all(x is not None and x > start for x in (cap, length)))),
+        ("schedule_beyond_cap", bool(start) or cap is None or length is None or length <= cap),
+        ("max_model_tokens", tokens is None or (isinstance(tokens, int) and positive(tokens))),
+        ("token_budget_stages", tokens is None or ([s.get("name") for s in stages] == ["stage1"] and not config.get("stage1_cooldown_fraction"))),
+    ]
+    return [name for name, holds in checks if not holds]
+
+
 def stage_steps(total: int, stages: int, schedule: int | None = None, fraction: float = 2 / 3, consumed: int = 0) -> list[int]:
     """Steps left per stage of a one- or two-stage run."""
     if stages == 1:

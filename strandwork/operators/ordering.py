@@ -14,26 +14,27 @@ from pyspark.sql import functions as F
 from strandwork.runtime import settle
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], value: str | None = None) -> DataFrame:
-    """``df`` plus ``rn`` (1-based rank in the group) and, with ``value``, ``before`` (its running sum ahead of the row).
+def ranked(df: DataFrame, group: list[str], order: list[str], value: str | list[str] | None = None) -> DataFrame:
+    """``df`` plus ``rn`` (1-based rank in the group) and running sums of ``value`` ahead of each row.
 
-    ``order`` must be total within a group. Null groups are groups; null values add nothing.
+    One value gives the column ``before``, a list gives ``before_<name>`` for each. ``order``
+    must be total within a group. Null groups are groups; null values add nothing.
     """
+    names = [value] if isinstance(value, str) else value or []
+    added = {v: "before" if isinstance(value, str) else f"before_{v}" for v in names}
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = settle(df.repartitionByRange(tasks, *group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    amount = F.coalesce(F.col(value).cast("bigint"), F.lit(0)) if value else F.lit(0).cast("bigint")
-    totals = ranges.groupBy(*group, "_range").agg(F.count("*").alias("_rows"), F.sum(amount).alias("_sum"))
+    amounts = {v: F.coalesce(F.col(v).cast("bigint"), F.lit(0)) for v in names}
+    totals = ranges.groupBy(*group, "_range").agg(F.count("*").alias("_rows"), *[F.sum(a).alias(f"_sum_{v}") for v, a in amounts.items()])
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_sum"))
+    shifts = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ["_rows", *[f"_sum_{v}" for v in names]]]
+    offsets = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_r"), *shifts)
     inside = Window.partitionBy("_range", *group).orderBy(*order)
-    out = ranges.withColumn("_own", F.row_number().over(inside))
-    if value:
-        out = out.withColumn("_ahead", F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = ranges.withColumn("_own", F.row_number().over(inside)).withColumns({f"_ahead_{v}": F.sum(a).over(ahead) for v, a in amounts.items()})
     same = F.col("_range") == F.col("_r")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     joined = out.join(F.broadcast(offsets), same)
-    added = [(F.col("_own") + F.col("_rows")).alias("rn")]
-    if value:
-        added.append((F.coalesce("_ahead", F.lit(0)) + F.col("_sum")).alias("before"))
-    return joined.select(*df.columns, *added)
+    sums = [(F.coalesce(f"_ahead_{v}", F.lit(0)) + F.col(f"_sum_{v}")).alias(name) for v, name in added.items()]
+    return joined.select(*df.columns, (F.col("_own") + F.col("_rows")).alias("rn"), *sums)

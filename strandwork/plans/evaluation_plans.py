@@ -296,3 +296,10 @@ def subset_coverage(spark, d):
     wanted = table(spark, d, "evaluation_sequences").where("chain_id IS NOT NULL").select("chain_id").distinct()
     held = table(spark, d, "cached_contact_chain").select("chain_id").distinct().withColumn("held", F.lit(True))
     return wanted.join(held, "chain_id", "left").agg(F.count("*").alias("wanted"), F.count("held").alias("held"), F.count_if(F.col("held").isNull()).alias("missing"))
+
+
+@query("milestone_steps", "SELECT i AS step, i // 250 AS milestone, i % 1000 = 0 OR i = 5000 AS evaluated FROM range(1, 5001) u(i) WHERE i % 250 = 0")
+def milestone_steps(spark, d):
+    """The steps of a run at which a checkpoint is preserved, and those evaluated."""
+    steps = spark.range(1, 5001).where(F.col("id") % 250 == 0)
+    return steps.select(F.col("id").alias("step"), F.floor(F.col("id") / 250).alias("milestone"), ((F.col("id") % 1000 == 0) | (F.col("id") == 5000)).alias("evaluated"))

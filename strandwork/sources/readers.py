@@ -14,6 +14,11 @@ def shards(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(RECORD).parquet(*paths)
 
 
+def pinned(spark: SparkSession, root: str, files: list[str], schema: str) -> DataFrame:
+    """A version pinned as an explicit list of files under ``root``; only those are listed and read."""
+    return spark.read.schema(schema).parquet(*[f"{root.rstrip('/')}/{f}" for f in files])
+
+
 def release_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``source, split, ordinal`` and the shard descriptor, one row per shard of a nested manifest."""
     nested = f"sources map<string, struct<train: array<struct<{_struct(SHARD)}>>, validation: array<struct<{_struct(SHARD)}>>>>"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,17 @@ def event_windows(stream: DataFrame, time: str, width: str, lateness: str) -> Da
     """Counts and sums per tumbling window and type, final once the watermark passes."""
     timed = stream.withColumn("_at", F.col(time).cast("timestamp")).where("_at IS NOT NULL").withWatermark("_at", lateness)
     return timed.groupBy(F.window("_at", width), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
+
+
+def periodically(stream: DataFrame, label: str, every: int, run: Callable[[DataFrame, int], None]) -> None:
+    """Drain a stream, calling ``run(batch, number)`` on every ``every``-th micro-batch.
+
+    The engine's checkpoint keeps the batch numbers, so a restart goes on where it stopped.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        if number % every == 0:
+            run(batch, number)
+
+    base = f"{scratch_dir(stream.sparkSession).rstrip('/')}/strandwork/stream-{label}-{uuid.uuid4().hex}"
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()

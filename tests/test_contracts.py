@@ -44,3 +44,14 @@ def test_config_differences(spark):
     a = spark.createDataFrame([("x", "1"), ("y", None), ("z", "3")], "key string, value string")
     b = spark.createDataFrame([("x", "2"), ("y", None), ("w", "4")], "key string, value string")
     assert sorted(map(tuple, c.config_differences(a, b, ["w"]).collect())) == [("x", "1", "2"), ("z", "3", None)]
+
+
+def test_budgets():
+    one = {"stages": [{"name": "stage1"}]}
+    assert c.budget_problems(one | {"max_steps": 10}) == [] and c.budget_problems(one | {"max_model_tokens": 5}) == []
+    assert c.budget_problems({"max_steps": 0}) == ["max_steps", "schedule_steps"]
+    assert c.budget_problems({"max_steps": 10, "schedule_steps": 11}) == ["schedule_beyond_cap"]
+    assert c.budget_problems({"max_steps": 20, "schedule_steps": 30, "schedule_start_step": 10}) == []
+    assert c.budget_problems({"max_steps": 20, "schedule_start_step": 20}) == ["schedule_start_step"]
+    assert c.budget_problems(one | {"max_model_tokens": True}) == ["max_model_tokens"]
+    assert c.budget_problems({"stages": [{"name": "stage1"}] * 2, "max_model_tokens": 5}) == ["token_budget_stages"]
