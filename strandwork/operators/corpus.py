@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.sequence import normalised, rejection
+from strandwork.runtime import settle
 
 # Source arms in ownership order; further sources follow by name, null last.
 ARMS = ["uniref90", "mgnify", "omg_img", "esm_atlas"]
@@ -22,19 +23,21 @@ def arm_rank(source: Column) -> Column:
 def records(released: DataFrame, split: str | None = None) -> DataFrame:
     """Each record once, with its normalised sequence and digest.
 
-    ``record_id, source, split, path, norm, digest, sha, length``; identical repeated rows
-    collapse. ``digest`` is the SHA-256 of the normalised sequence (null for null), ``sha``
-    the declared one in lower case.
+    ``record_id, source, split, path, norm, norm_length, digest, rejected, sha, length``;
+    identical repeated rows collapse. ``digest`` is the SHA-256 of the normalised sequence (null
+    for null), ``rejected`` its first failing rule, ``sha`` the declared digest in lower case.
+    Everything is derived before the rows are grouped, so a query that doesn't use ``norm``
+    never shuffles a sequence.
     """
     rows = released if split is None else released.where(F.col("split") == split)
-    once = rows.where(F.col("record_id").isNotNull()).select("record_id", "source", "split", "path", "sequence", F.lower("sha256").alias("sha"), "length").dropDuplicates(["record_id"])
-    out = once.withColumn("norm", normalised(F.col("sequence")))
-    return out.select("record_id", "source", "split", "path", "norm", F.sha2("norm", 256).alias("digest"), "sha", "length")
+    norm = rows.where(F.col("record_id").isNotNull()).withColumn("norm", normalised(F.col("sequence")))
+    derived = norm.select("record_id", "source", "split", "path", "norm", F.length("norm").alias("norm_length"), F.sha2("norm", 256).alias("digest"), rejection(F.col("norm")).alias("rejected"), F.lower("sha256").alias("sha"), "length")
+    return derived.dropDuplicates(["record_id"])
 
 
 def quality_ledger(rows: DataFrame) -> DataFrame:
     """Counts per source and in total by first failing rule."""
-    reason = F.coalesce(rejection(F.col("norm")), F.lit("eligible"))
+    reason = F.coalesce("rejected", F.lit("eligible"))
     tagged = rows.select(F.coalesce("source", F.lit("(none)")).alias("source"), reason.alias("reason"))
     kinds = ["missing", "short", "long", "ambiguous", "eligible"]
     counted = tagged.rollup("source").agg(F.count("*").alias("records"), *[F.count_if(F.col("reason") == k).alias(k) for k in kinds])
@@ -47,7 +50,7 @@ def owners(rows: DataFrame) -> DataFrame:
     The owner has the first arm, then the least id. ``min`` over a struct combines on the map
     side, so a digest held by very many records needs no window over them.
     """
-    eligible = rows.where(rejection(F.col("norm")).isNull())
+    eligible = rows.where("rejected IS NULL")
     first = F.min(F.struct(arm_rank(F.col("source")).alias("r"), F.coalesce("source", F.lit("")).alias("s"), F.col("record_id").alias("id"), F.col("source").alias("source")))
     return (
         eligible.groupBy("digest")
@@ -83,28 +86,29 @@ def funnel(released: DataFrame, evaluation: DataFrame, hits: DataFrame) -> DataF
     digest; otherwise ``kept``. Marks arrive by joins on the digest: the protected set and the
     hits are small beside the corpus, and AQE picks broadcast or shuffle by their size.
     """
-    rows = records(released, "train").select("record_id", "source", "norm", "digest", "sha")
+    rows = settle(records(released, "train").select("record_id", "source", "norm_length", "rejected", "digest", "sha"), "funnel")
     held = owners(rows).select("digest", "owner_id")
     guarded = protected_digests(evaluation).withColumn("guarded", F.lit(True))
     similar = clean_hits(hits).select(F.col("training_digest").alias("sha")).distinct().withColumn("similar", F.lit(True))
     validation = records(released, "validation").where("digest IS NOT NULL").select("digest").distinct().withColumn("validation", F.lit(True))
     marked = rows.join(held, "digest", "left").join(guarded, "digest", "left").join(validation, "digest", "left").join(similar, "sha", "left")
     reason = (
-        F.when(rejection(F.col("norm")).isNotNull(), rejection(F.col("norm")))
+        F.when(F.col("rejected").isNotNull(), F.col("rejected"))
         .when(F.col("owner_id") != F.col("record_id"), "duplicate")
         .when(F.col("guarded"), "protected_exact")
         .when(F.col("similar"), "protected_homology")
         .when(F.col("validation"), "validation")
         .otherwise("kept")
     )
-    return marked.select("record_id", "source", F.length("norm").alias("norm_length"), reason.alias("reason"))
+    return marked.select("record_id", "source", "norm_length", reason.alias("reason"))
 
 
 def funnel_ledger(released: DataFrame, evaluation: DataFrame, hits: DataFrame) -> DataFrame:
     """Records and residues per source (and in total) and reason; the reasons add up to the input."""
     rows = funnel(released, evaluation, hits).withColumn("source", F.coalesce("source", F.lit("(none)")))
-    both = rows.unionByName(rows.withColumn("source", F.lit("(all)")))
-    return both.groupBy("source", "reason").agg(F.count("*").alias("records"), F.coalesce(F.sum("norm_length"), F.lit(0)).alias("residues"))
+    counted = rows.groupBy("source", "reason").agg(F.count("*").alias("records"), F.coalesce(F.sum("norm_length"), F.lit(0)).alias("residues"))
+    both = settle(counted, "ledger")
+    return both.unionByName(both.groupBy(F.lit("(all)").alias("source"), "reason").agg(F.sum("records").alias("records"), F.sum("residues").alias("residues")))
 
 
 def first_k(rows: DataFrame, k: int) -> DataFrame:

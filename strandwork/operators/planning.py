@@ -18,7 +18,7 @@ RECORD_BYTES = 44  # a store's index entry; a residue takes one byte
 
 def manifest(rows: DataFrame) -> DataFrame:
     """Per shard file: counts, residues, digest range, and declared values that don't hold."""
-    size = F.length("norm")
+    size = F.col("norm_length")
     return rows.groupBy("path").agg(
         F.count("*").alias("records"),
         F.coalesce(F.sum(size), F.lit(0)).alias("residues"),
@@ -116,7 +116,7 @@ def plan_by_shards(shards: DataFrame, weights: Mapping[str, float], count: int)
 
 def storage(rows: DataFrame) -> DataFrame:
     """Store bytes per source and split: one per residue and ``RECORD_BYTES`` per record."""
-    size = F.coalesce(F.sum(F.length("norm")), F.lit(0))
+    size = F.coalesce(F.sum("norm_length"), F.lit(0))
     return rows.groupBy("source", "split").agg(F.count("*").alias("records"), size.alias("residues"), (size + F.count("*") * RECORD_BYTES).alias("store_bytes"))
 
 

@@ -19,7 +19,7 @@ def _released(spark, d) -> DataFrame:
 
 @query("seq_normalize", f"WITH {RECORDS} SELECT record_id, length(norm) AS norm_length, digest FROM r")
 def seq_normalize(spark, d):
-    return corpus.records(_released(spark, d)).select("record_id", F.length("norm").alias("norm_length"), "digest")
+    return corpus.records(_released(spark, d)).select("record_id", "norm_length", "digest")
 
 
 @query(
@@ -137,7 +137,7 @@ def _checksum(ids):
 
 @query("token_encode", f"WITH {RECORDS}, x AS (SELECT record_id, {_IDS} AS ids FROM r WHERE length(norm) > 0) SELECT record_id, len(ids) AS n_tokens, list_sum(list_transform(ids, lambda t, i: t * i))::BIGINT AS checksum FROM x")
 def token_encode(spark, d):
-    rows = corpus.records(_released(spark, d)).where(F.length("norm") > 0).select("record_id", token_ids(F.col("norm")).alias("ids"))
+    rows = corpus.records(_released(spark, d)).where("norm_length > 0").select("record_id", token_ids(F.col("norm")).alias("ids"))
     return rows.select("record_id", F.size("ids").alias("n_tokens"), _checksum(F.col("ids")).alias("checksum"))
 
 
@@ -236,7 +236,7 @@ def release_constraints(spark, d):
         F.count_if(~F.col("split").isin("train", "validation")).alias("other_splits"),
         F.count_if(~F.col("sha").rlike("^[0-9a-f]{64}$")).alias("bad_digests"),
         F.count_if(F.col("path").startswith("/") | F.col("path").contains("..")).alias("unsafe_paths"),
-        F.count_if(~F.length("norm").between(32, 16384)).alias("outside_storage_lengths"),
+        F.count_if(~F.col("norm_length").between(32, 16384)).alias("outside_storage_lengths"),
         F.count_if(~F.col("path").startswith(F.concat("source", F.lit("/"), "split", F.lit("/")))).alias("misplaced"),
     )
     return total.join(found).select((F.col("n") - F.col("records")).alias("repeated_rows"), "other_splits", "bad_digests", "unsafe_paths", "outside_storage_lengths", "misplaced")
@@ -262,7 +262,7 @@ PLAN_WEIGHTS = {"uniref90": 36.0, "mgnify": 11.0, "omg_img": 54.0}
 
 def packed(spark, d) -> DataFrame:
     rows = corpus.records(_released(spark, d), "train").where("source IS NOT NULL AND digest IS NOT NULL")
-    return planning.pack_shards(rows.groupBy("source", "digest").agg(F.max(F.length("norm")).alias("length")), SHARD_CAP)
+    return planning.pack_shards(rows.groupBy("source", "digest").agg(F.max("norm_length").alias("length")), SHARD_CAP)
 
 
 @query("shard_pack", f"{packed_sql(SHARD_CAP)} SELECT * FROM shards")

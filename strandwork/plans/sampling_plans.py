@@ -130,8 +130,8 @@ def prefix_verify(spark, d):
     f"WITH {RECORDS} SELECT record_id, CASE WHEN length(norm) > 126 THEN {u52('20260821', 'digest')} % (length(norm) - 126 + 1) ELSE 0 END AS crop_start FROM r WHERE norm IS NOT NULL",
 )
 def crop_offsets(spark, d):
-    rows = corpus.records(table(spark, d, "released_sequences")).where("norm IS NOT NULL")
-    return rows.select("record_id", sampling.crop_offset(F.col("digest"), F.length("norm"), 126, 20260821).alias("crop_start"))
+    rows = corpus.records(table(spark, d, "released_sequences")).where("norm_length IS NOT NULL")
+    return rows.select("record_id", sampling.crop_offset(F.col("digest"), F.col("norm_length"), 126, 20260821).alias("crop_start"))
 
 
 def mask_sql(rows: str, seed: str, extra: str) -> str:
@@ -206,14 +206,14 @@ def unigram_losses(spark, d):
     SELECT record_id, length, (rn - 1) // 32 AS batch, ((rn - 1) // 32) % 4 AS worker FROM o""",
 )
 def length_batches(spark, d):
-    rows = corpus.records(table(spark, d, "released_sequences"), "validation").select("record_id", F.length("norm").alias("length"))
+    rows = corpus.records(table(spark, d, "released_sequences"), "validation").select("record_id", F.col("norm_length").alias("length"))
     return reports.length_batches(rows, "record_id", 32, 4)
 
 
 @query("batch_balance")
 def batch_balance(spark, d):
     """Batches of 64 consecutive permuted records, dealt to 4 ranks by balanced load (sequential inside a batch)."""
-    rows = corpus.records(table(spark, d, "released_sequences"), "validation").where("norm IS NOT NULL AND source IS NOT NULL").select("record_id", "source", F.length("norm").alias("length"))
+    rows = corpus.records(table(spark, d, "released_sequences"), "validation").where("norm_length IS NOT NULL AND source IS NOT NULL").select("record_id", "source", F.col("norm_length").alias("length"))
     order = settle(sampling.permutation(rows, SEED), "balance-order").join(rows.select("record_id", "length"), "record_id")
     batches = order.select((F.floor(F.col("position") / 64) * 100 + F.pmod(F.xxhash64("source"), F.lit(100))).alias("batch"), F.col("position").alias("item"), F.least(F.col("length") + 2, F.lit(512)).cast("bigint").alias("length"))
     return reports.balance_batches(batches, WORLD)
