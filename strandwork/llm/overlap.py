@@ -255,6 +255,11 @@ def overlap_report(evaluation: DataFrame, released: DataFrame, hits: DataFrame)
         F.sum("identity").alias("identity_sum"),
         F.count("identity").alias("identity_n"),
     )
+    return _per_group(records, per_record)
+
+
+def _per_group(records: DataFrame, per_record: DataFrame) -> DataFrame:
+    """The report of ``records`` with the counts of those that overlap."""
     joined = records.join(per_record, records["eval_id"] == per_record["evaluation_id"], "left")
     return joined.groupBy("origin", "split", "source").agg(
         F.count("*").alias("records"),
@@ -264,3 +269,40 @@ def overlap_report(evaluation: DataFrame, released: DataFrame, hits: DataFrame)
         F.coalesce(F.sum("claimed"), F.lit(0)).alias("claimed_pairs"),
         F.round(F.sum("identity_sum") / F.nullif(F.sum("identity_n"), F.lit(0)), 6).alias("claimed_identity"),
     )
+
+
+def named_digests(rows: DataFrame, key: str, digest: str) -> DataFrame:
+    """``key, digest``: the declared digest of each record and the SHA-256 of its canonical sequence (nulls and empty sequences left out)."""
+    norm = normalised(F.col("sequence"))
+    computed = F.when(norm != "", F.sha2(norm, 256))
+    return rows.select(key, F.explode(F.array_distinct(F.array(F.lower(digest), computed))).alias("digest")).where("digest IS NOT NULL")
+
+
+def canonical_report(evaluation: DataFrame, released: DataFrame, hits: DataFrame) -> DataFrame:
+    """:func:`overlap_report` by canonical content: declared *or* computed digests, on both sides.
+
+    The hashes of the canonicalised records are joined beside the declared ones. A pair is exact
+    if any digest of one record is one of the other, and claimed if the hit table names any of them.
+    The train side is joined once, for exact pairs and claims together.
+    """
+    side = settle(evaluation_side(evaluation, released), "canonical-evaluation")
+    records = side.groupBy("eval_id").agg(F.first("origin").alias("origin"), F.min("split").alias("split"), F.min("source").alias("source"))
+    names = settle(named_digests(side, "eval_id", "digest").distinct(), "canonical-names")
+    identity = F.when(F.col("pident") > 1, F.col("pident") / 100).otherwise(F.col("pident"))
+    cleaned = hits.select(F.lower("evaluation_sha256").alias("x"), F.lower("training_sha256").alias("y"), identity.alias("identity"))
+    claims = cleaned.unionByName(cleaned.select(F.col("y").alias("x"), F.col("x").alias("y"), "identity")).where("y IS NOT NULL").groupBy("x", "y").agg(F.max("identity").alias("identity"))
+    claimed = names.withColumnRenamed("digest", "x").join(claims, "x").select("eval_id", F.col("y").alias("digest"), F.lit(False).alias("exact"), F.lit(True).alias("claimed"), "identity")
+    equal = names.select("eval_id", "digest", F.lit(True).alias("exact"), F.lit(False).alias("claimed"), F.lit(None).cast("double").alias("identity"))
+    matched = equal.unionByName(claimed).join(named_digests(train_side(released), "record_id", "sha256"), "digest")
+    matched = matched.select("eval_id", "record_id", F.col("exact").alias("overlap"), "exact", "claimed", "identity")
+    found = near_pairs(evaluation, released).select("eval_id", "record_id", F.lit(True).alias("overlap"), F.lit(False).alias("exact"), F.lit(False).alias("claimed"), F.lit(None).cast("double").alias("identity"))
+    flags = [F.bool_or(c).alias(c) for c in ("overlap", "exact", "claimed")]
+    detail = matched.unionByName(found).groupBy("eval_id", "record_id").agg(*flags, F.max("identity").alias("identity")).where("overlap")
+    per_record = detail.groupBy(F.col("eval_id").alias("evaluation_id")).agg(
+        F.count("*").alias("pairs"),
+        F.count_if("exact").alias("exact"),
+        F.count_if("claimed").alias("claimed"),
+        F.sum("identity").alias("identity_sum"),
+        F.count("identity").alias("identity_n"),
+    )
+    return _per_group(records, per_record)

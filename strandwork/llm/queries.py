@@ -49,6 +49,10 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "evaluation_sequences"), table(spark, d, "released_sequences"), table(spark, d, "homology_hits"))
 
 
+def p4_report_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.canonical_report(table(spark, d, "evaluation_sequences"), table(spark, d, "released_sequences"), table(spark, d, "homology_hits"))
+
+
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return bpe.count_tokens(table(spark, d, "documents"), VOCABULARY)
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_groups": p3_groups,
         "p4_found": p4_found,
         "p4_report": p4_report,
+        "p4_report_canonical": p4_report_canonical,
         "p5_ids": p5_ids,
         "p6_pack": p6_pack,
         "p6_report": p6_report,
@@ -203,6 +208,26 @@ SELECT origin, split, source, count(*) AS records, count(evaluation_id) AS overl
 FROM recs LEFT JOIN per ON per.evaluation_id = recs.id GROUP BY origin, split, source"""
 
 
+P4_REPORT_CANONICAL = f"""{P4_PAIRS},
+sides AS (
+  SELECT evaluation_id AS id, 'protected' AS origin, split, NULL AS source FROM evaluation_sequences WHERE evaluation_id IS NOT NULL
+  UNION ALL SELECT record_id, 'release', split, source FROM released_sequences WHERE split = 'validation' AND record_id IS NOT NULL),
+recs AS (SELECT id, min(origin) AS origin, min(split) AS split, min(source) AS source FROM sides GROUP BY id),
+ed AS (SELECT id, sha AS h FROM evaluation WHERE sha IS NOT NULL UNION SELECT id, sha256(s) FROM evaluation WHERE s <> ''),
+td AS (SELECT id, sha AS h FROM train WHERE sha IS NOT NULL UNION SELECT id, sha256(s) FROM train WHERE s <> ''),
+same AS (SELECT DISTINCT a.id AS e, b.id AS t FROM ed a JOIN td b ON a.h = b.h WHERE a.id IS NOT NULL AND b.id IS NOT NULL),
+every AS (SELECT evaluation_id AS e, training_id AS t FROM pairs WHERE evaluation_id IS NOT NULL AND training_id IS NOT NULL UNION SELECT e, t FROM same),
+claim0 AS (SELECT lower(evaluation_sha256) AS x, lower(training_sha256) AS y, CASE WHEN pident > 1 THEN pident / 100 ELSE pident END AS p FROM homology_hits),
+claimed AS (
+  SELECT a.id AS e, b.id AS t, max(p) AS p FROM (SELECT * FROM claim0 UNION ALL SELECT y, x, p FROM claim0) c JOIN ed a ON a.h = c.x JOIN td b ON b.h = c.y GROUP BY 1, 2),
+per AS (
+  SELECT v.e AS id, count(*) AS pairs, count(s.e) AS exact, count(c.e) AS claimed, sum(c.p) AS ps, count(c.p) AS pn
+  FROM every v LEFT JOIN same s ON s.e = v.e AND s.t = v.t LEFT JOIN claimed c ON c.e = v.e AND c.t = v.t GROUP BY v.e)
+SELECT origin, split, source, count(*) AS records, count(per.id) AS overlapping_records, coalesce(sum(pairs), 0)::BIGINT AS overlap_pairs,
+       coalesce(sum(exact), 0)::BIGINT AS exact_pairs, coalesce(sum(claimed), 0)::BIGINT AS claimed_pairs, round(sum(ps) / nullif(sum(pn), 0), 6) AS claimed_identity
+FROM recs LEFT JOIN per ON per.id = recs.id GROUP BY origin, split, source"""
+
+
 P2_STABILITY = f"""
 WITH chosen AS ({p2_sql()}), span AS (SELECT epoch(min(cached_at)) / 2 + epoch(max(cached_at)) / 2 AS m FROM cached_contact_chain),
 early AS (SELECT DISTINCT chain_id FROM cached_contact_chain, span WHERE epoch(cached_at) <= m AND chain_id IN (SELECT chain_id FROM chosen))
@@ -238,6 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": P3_FOUND,
         "p4_found": P4_FOUND,
         "p4_report": P4_REPORT,
+        "p4_report_canonical": P4_REPORT_CANONICAL,
         "p7_found": P7_FOUND,
         "p7_shared": P7_SHARED,
     }

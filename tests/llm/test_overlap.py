@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -87,3 +88,14 @@ def test_hot_blocks_are_spared(spark, monkeypatch):
     released = [(100 + k, "a", "train", e[2][:120] + word(20), None) for k, e in enumerate(evaluation)] + [(200 + k, "a", "train", word(40) + common + word(90), None) for k in range(30)]
     got = overlap.overlaps(spark.createDataFrame(evaluation, EV), spark.createDataFrame(released, REL))
     assert sorted(map(tuple, got.collect())) == brute(evaluation, released) == [(k, 100 + k) for k in range(4)]
+
+
+def test_canonical_report_counts_equal_sequences_without_equal_digests(spark):
+    word = "".join(random.Random(3).choices("ACDEFGHIKLMNPQRSTVWY", k=80))
+    digest = hashlib.sha256(word.encode()).hexdigest()
+    evaluation = [(1, "test", word, None), (2, "test", "ACD", "raw"), (3, "test", None, digest.upper()), (4, "test", "", None)]
+    released = [(10, "a", "train", word.lower() + "*", "raw spelling"), (11, "a", "train", "a cd", None), (12, "a", "train", "*", None), (13, "a", "train", word[:70] + "W" * 10, "near")]
+    hits = spark.createDataFrame([("near", digest, 80.0), (digest, "near", 0.9), ("raw", "elsewhere", 0.5)], "evaluation_sha256 string, training_sha256 string, pident double")
+    rows = overlap.canonical_report(spark.createDataFrame(evaluation, EV), spark.createDataFrame(released, REL), hits).collect()
+    # 1 and 10, 2 and 11, 3 and 10 are exact; 1 and 13 overlap and are claimed, by the computed digest of 1
+    assert [tuple(r) for r in rows] == [("protected", "test", None, 4, 3, 4, 3, 1, 0.9)]
