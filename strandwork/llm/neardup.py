@@ -12,8 +12,8 @@ Records are compared by the Jaccard similarity of their sets of runs of ``GRAM``
    dropped, so unrelated pairs cost a step or two.
 4. The rest is verified exactly on the gram sets.
 
-Large buckets are refined by a second band and split into chunks, so that no task holds a whole
-bucket. Null and empty sequences are left out; a
+Large buckets are split into chunks that are paired and pruned two at a time, so that no task
+holds a whole bucket. Null and empty sequences are left out; a
 sequence without runs (shorter than ``GRAM``) only matches an equal one. A chain with
 several sequences matches by any of them.
 """
@@ -39,6 +39,7 @@ BANDS, ROWS = 40, 2
 CHECKS, STEP = 64, 16
 TOLERANCE = 1e-6
 CHUNK = 256
+BLOCK, STRIP = 4096, 1 << 16
 BATCH_CHARS = 1 << 19
 
 
@@ -134,29 +135,61 @@ def signatures(classes: DataFrame) -> DataFrame:
 def candidate_pairs(signed: DataFrame) -> DataFrame:
     """``a1, a2, b1, b2`` of class pairs (a before b) that agree in a band, each once.
 
-    A bucket with more than ``CHUNK`` members isn't paired as it is: its members go on under
-    the bucket and each of their other bands, so that only those agreeing in two bands meet. A
-    similar pair shares several bands (one of 39 others fails to at the threshold with
-    probability 1e-5). What is still large there is cut into chunks, and each pair of chunks
-    is joined on its own, so it spreads over many tasks; nothing is capped.
+    A bucket with more than ``CHUNK`` members is split into chunks, and each pair of chunks is
+    one group, so it spreads over many tasks (:func:`hot_pairs`). There the pairs that pruning
+    would drop are left out at once; nothing else is, and nothing is capped.
     """
     rows = signed.select("k1", "k2", F.explode("bands").alias("band"))
     # most buckets hold one class: what is left is small, and used by all branches below
     members = settle(rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "dup-members-of-bands")
-    hot = members.where(F.col("n") > CHUNK).join(signed.select("k1", "k2", "bands"), ["k1", "k2"])
-    finer = hot.select("band", "k1", "k2", F.explode("bands").alias("other")).where("other <> band").select(F.xxhash64("band", "other").alias("band"), "k1", "k2")
-    usual = members.where(F.col("n") <= CHUNK).select("band", "k1", "k2")
-    pairs = _paired(usual.withColumn("parts", F.lit(1))).unionByName(_paired(finer.join(finer.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n"), "band")))
-    return pairs.distinct()
+    usual = members.where(F.col("n") <= CHUNK)
+    a = usual.select("band", F.col("k1").alias("a1"), F.col("k2").alias("a2"))
+    b = usual.select("band", F.col("k1").alias("b1"), F.col("k2").alias("b2"))
+    pairs = a.join(b, "band").where("a1 < b1 OR (a1 = b1 AND a2 < b2)").select("a1", "a2", "b1", "b2")
+    return pairs.unionByName(hot_pairs(members.where(F.col("n") > CHUNK).join(signed.select("k1", "k2", "bands", "checks"), ["k1", "k2"]))).distinct()
 
 
-def _paired(members: DataFrame) -> DataFrame:
-    """Pairs inside each ``band``, joined by pairs of its ``parts`` chunks. ``members``: ``band, k1, k2, parts``."""
-    members = members.withColumn("own", F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = members.select("band", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("own").alias("ca"), others.alias("cb"))
-    right = members.select("band", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("own").alias("cb"), others.alias("ca"))
-    return left.join(right, ["band", "ca", "cb"]).where("a1 < b1 OR (a1 = b1 AND a2 < b2)").select("a1", "a2", "b1", "b2")
+def hot_pairs(members: DataFrame) -> DataFrame:
+    """Pairs inside each large ``band`` that no step prunes. ``members``: ``band, n, k1, k2, bands, checks``.
+
+    A pair is put out only under the first band it agrees in, so a family of near copies
+    doesn't come out once per band.
+    """
+    steps = least_matches()
+    parts = F.ceil(F.col("n") / BLOCK)
+    placed = members.withColumn("own", F.pmod(F.xxhash64("k1", "k2"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
+    placed = placed.select("band", "k1", "k2", "bands", "checks", "own", F.least("own", "other").alias("ca"), F.greatest("own", "other").alias("cb"))
+
+    def pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        band, ca, cb = (pdf[c].iloc[0] for c in ("band", "ca", "cb"))
+        keys = pdf[["k1", "k2"]].to_numpy(dtype=np.int64)
+        bands = np.stack(pdf["bands"].to_numpy())
+        checks = np.frombuffer(b"".join(pdf["checks"]), dtype=np.uint8).reshape(len(pdf), CHECKS)
+        own = pdf["own"].to_numpy()
+        left, right = np.flatnonzero(own == ca), np.flatnonzero(own == cb)
+        out = [np.empty((0, 4), dtype=np.int64)]
+        (first, least), columns = steps[0], np.ascontiguousarray(checks[right].T)
+        strip = max(1, STRIP // max(1, len(right)))
+        for begin in range(0, len(left), strip):
+            rows = left[begin : begin + strip]
+            matches = np.zeros((len(rows), len(right)), dtype=np.uint8)
+            for c in range(first):
+                matches += checks[rows, c, None] == columns[c]
+            i, j = np.nonzero(matches >= least)
+            i, j = rows[i], right[j]
+            if ca == cb:
+                i, j = i[i < j], j[i < j]
+            alive = _alive(checks[i], checks[j], steps)
+            i, j = i[alive], j[alive]
+            agree = bands[i] == bands[j]
+            lead = bands[i, agree.argmax(axis=1)] == band
+            i, j = i[lead], j[lead]
+            swap = (keys[i, 0] > keys[j, 0]) | ((keys[i, 0] == keys[j, 0]) & (keys[i, 1] > keys[j, 1]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            out.append(np.hstack([keys[i], keys[j]]))
+        return pd.DataFrame(np.concatenate(out), columns=["a1", "a2", "b1", "b2"])
+
+    return fan_out(placed, "band", "ca", "cb").groupBy("band", "ca", "cb").applyInPandas(pair_up, "a1 long, a2 long, b1 long, b2 long")
 
 
 def similar(a: str, b: str, threshold: float = THRESHOLD) -> bool:
@@ -169,9 +202,11 @@ def similar(a: str, b: str, threshold: float = THRESHOLD) -> bool:
 
 def surviving(a: list[bytes], b: list[bytes], steps: list[tuple[int, int]]) -> np.ndarray:
     """Positions of the pairs that no step prunes."""
-    x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(len(a), CHECKS)
-    y = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(len(b), CHECKS)
-    alive, matches, done = np.arange(len(a)), np.zeros(len(a), dtype=np.int64), 0
+    return _alive(*(np.frombuffer(b"".join(v), dtype=np.uint8).reshape(len(v), CHECKS) for v in (a, b)), steps)
+
+
+def _alive(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    alive, matches, done = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), 0
     for n, least in steps:
         matches += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
         keep = matches >= least

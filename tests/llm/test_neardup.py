@@ -83,3 +83,14 @@ def test_components_of_a_path_and_a_star(spark):
 def test_pruning_bounds():
     steps = neardup.least_matches()
     assert [n for n, _ in steps] == [16, 32, 48, 64] and all(0 <= m < n / 2 for n, m in steps) and steps[-1][1] >= 12
+
+
+def test_hot_buckets_pair_classes_that_agree_in_one_band(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    word = bytes(range(neardup.CHECKS))
+    # one bucket of all, another of the first four; the last one has other check values and is pruned
+    rows = [(k, -k, [7, 8 if k < 4 else 1000 + k] + [100 * k + b for b in range(10000, 10000 + neardup.BANDS - 2)], word) for k in range(9)]
+    rows.append((9, -9, [7] + [100 * 9 + b for b in range(20000, 20000 + neardup.BANDS - 1)], word[::-1]))
+    got = neardup.candidate_pairs(spark.createDataFrame(rows, "k1 long, k2 long, bands array<long>, checks binary")).collect()
+    assert sorted(map(tuple, got)) == [(a, -a, b, -b) for a in range(9) for b in range(a + 1, 9)]
