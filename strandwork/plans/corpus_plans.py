@@ -342,3 +342,25 @@ def config_differences(spark, d):
     entries += [F.struct(F.lit(f"mixture.{s}").alias("key"), F.round(F.try_element_at("mixture", F.lit(s)), 4).cast("string").alias("value")) for s in ("uniref90", "mgnify")]
     kv = table(spark, d, "stages").select("name", F.explode(F.array(*entries)).alias("e")).select("name", "e.key", "e.value")
     return differences(kv.where("name = 'base_512'"), kv.where("name = 'polish_512'"), ["budget_residues"])
+
+
+_MIXTURES = "SELECT name, 'mixture.' || e.key AS key, round(e.value, 4)::VARCHAR AS value FROM stages, unnest(map_entries(mixture)) AS u(e)"
+
+
+@query(
+    "config_differences_all",
+    f"""WITH kv AS (SELECT name, unnest(['context_length', 'micro_batch_size', 'gradient_accumulation', 'budget_residues']) AS key,
+      unnest([context_length::VARCHAR, micro_batch_size::VARCHAR, gradient_accumulation::VARCHAR, budget_residues::VARCHAR]) AS value FROM stages UNION ALL {_MIXTURES})
+    SELECT key, a.value AS old, b.value AS new FROM (SELECT key, value FROM kv WHERE name = 'base_512') a FULL JOIN (SELECT key, value FROM kv WHERE name = 'polish_512') b USING (key)
+    WHERE a.value IS DISTINCT FROM b.value AND key <> 'budget_residues'""",
+)
+def config_differences_all(spark, d):
+    """:func:`config_differences` over every source that either mixture names."""
+    from strandwork.operators.contracts import config_differences as differences
+
+    plain = ["context_length", "micro_batch_size", "gradient_accumulation", "budget_residues"]
+    settings = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in plain]
+    sources = F.transform(F.map_entries("mixture"), lambda e: F.struct(F.concat(F.lit("mixture."), e["key"]).alias("key"), F.round(e["value"], 4).cast("string").alias("value")))
+    entries = F.concat(F.array(*settings), F.coalesce(sources, F.array()))
+    kv = table(spark, d, "stages").select("name", F.explode(entries).alias("e")).select("name", "e.key", "e.value")
+    return differences(kv.where("name = 'base_512'"), kv.where("name = 'polish_512'"), ["budget_residues"])
