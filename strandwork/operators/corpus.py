@@ -121,6 +121,18 @@ def first_k(rows: DataFrame, k: int) -> DataFrame:
     return distinct.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("source", "rn", "digest", "record_id")
 
 
+def validation_set(released: DataFrame, evaluation: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """:func:`first_k` of the validation records that the quality rules, ownership and decontamination leave.
+
+    The quality rules are stricter than the storage filter of 32 to 16,384 residues, which they include.
+    """
+    rows = settle(records(released, "validation").select("record_id", "source", "rejected", "digest", "sha"), "validation")
+    held = owners(rows).select(F.col("owner_id").alias("record_id"))
+    similar = clean_hits(hits).select(F.col("training_digest").alias("sha")).where("sha IS NOT NULL").distinct()
+    kept = rows.where("rejected IS NULL").join(held, "record_id", "left_semi").join(protected_digests(evaluation), "digest", "left_anti").join(similar, "sha", "left_anti")
+    return first_k(kept, k)
+
+
 def overlaps_of_splits(released: DataFrame, evaluation: DataFrame) -> DataFrame:
     """Sizes and intersections of the digest sets of the train, validation and protected records."""
     digests = records(released).where("digest IS NOT NULL").select("digest", F.col("split").alias("part")).unionByName(protected_digests(evaluation).withColumn("part", F.lit("protected")))

@@ -117,6 +117,21 @@ def validation_first_k(spark, d):
     return corpus.first_k(corpus.records(_released(spark, d), "validation"), 20)
 
 
+VALIDATION_SIZE = 4096
+
+
+@query(
+    "validation_first_4096",
+    f"""WITH {RECORDS}, {PROTECTED}, {HITS},
+    v AS (SELECT source, digest, record_id, sha FROM r WHERE split = 'validation' AND rejected IS NULL QUALIFY row_number() OVER (PARTITION BY digest ORDER BY arm, coalesce(source, ''), record_id) = 1)
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY digest) AS rn, digest, record_id FROM v
+    WHERE source IS NOT NULL AND NOT EXISTS (FROM guarded g WHERE g.digest = v.digest) AND NOT EXISTS (FROM hits h WHERE h.training_digest = v.sha) QUALIFY rn <= {VALIDATION_SIZE}""",
+)
+def validation_first_4096(spark, d):
+    """The validation records of the release: all that are eligible, up to the published number of each source."""
+    return corpus.validation_set(_released(spark, d), table(spark, d, "evaluation_sequences"), table(spark, d, "homology_hits"), VALIDATION_SIZE)
+
+
 @query(
     "split_disjoint",
     f"""WITH {RECORDS}, {PROTECTED}, p AS (SELECT digest, split AS part FROM r WHERE digest IS NOT NULL UNION ALL SELECT digest, 'protected' FROM guarded),

@@ -1,11 +1,37 @@
 """Queries that do the whole of a job of which an older query does a part."""
 
+import hashlib
+import random
+
+from strandwork.operators import corpus
 from strandwork.plans import catalog
 
 
+def digest_of(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
 def test_config_differences_of_every_source(spark, tmp_path):
     rows = [("base_512", 512, 8, 1, 100, {"uniref90": 0.5, "omg_img": 0.3731, "deep_sea": None}), ("polish_512", 512, 4, 1, 200, {"uniref90": 0.5, "omg_img": 20.182, "brine_pool": 5.9}), ("other", 1, 1, 1, 1, None)]
     columns = "name string, context_length int, micro_batch_size int, gradient_accumulation int, budget_residues long, mixture map<string, double>"
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/stages.parquet")
     got = sorted(map(tuple, catalog.queries()["config_differences_all"](spark, str(tmp_path)).collect()))
     assert got == [("micro_batch_size", "8", "4"), ("mixture.brine_pool", None, "5.9"), ("mixture.omg_img", "0.3731", "20.182")]
+
+
+def test_validation_is_whole_and_eligible(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=60)) for _ in range(30)]
+    bad = [words[0][:59], "A" * 16385, "X" * 13 + words[0][:47]]
+    rows = [(k, "mgnify", "validation", s, digest_of(s)) for k, s in enumerate(words + bad)]
+    rows += [(100, "uniref90", "validation", words[0].lower(), None), (101, None, "validation", words[1], None), (102, "mgnify", "train", words[0] * 2, None)]
+    released = spark.createDataFrame(rows, "record_id long, source string, split string, sequence string, sha256 string").selectExpr("*", "'' AS path", "length(sequence) AS length")
+    evaluation = spark.createDataFrame([(words[2], None), (None, digest_of(words[3]).upper())], "sequence string, evaluation_sha256 string")
+    hits = spark.createDataFrame([("q", digest_of(words[4]), 90.0, 0.9, 0.9, 1e-9), ("q", digest_of(words[5]), 10.0, 0.9, 0.9, 1e-9)], "evaluation_sha256 string, training_sha256 string, pident double, evaluation_coverage double, training_coverage double, evalue double")
+    for name, df in (("released_sequences", released), ("evaluation_sequences", evaluation), ("homology_hits", hits)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    # the first is uniref90's, the next is owned by mgnify, three are decontaminated: 26 of mgnify, more than 20
+    wanted = sorted((digest_of(s), k) for k, s in enumerate(words) if k not in (0, 2, 3, 4))
+    expected = [("mgnify", i + 1, h, k) for i, (h, k) in enumerate(wanted)] + [("uniref90", 1, digest_of(words[0]), 100)]
+    assert sorted(map(tuple, catalog.queries()["validation_first_4096"](spark, str(tmp_path)).collect())) == expected
+    assert [r["rn"] for r in corpus.validation_set(released, evaluation, hits, 3).where("source = 'mgnify'").orderBy("rn").collect()] == [1, 2, 3]
