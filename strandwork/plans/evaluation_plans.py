@@ -61,6 +61,15 @@ def pair_sample_balanced(spark, d):
     return contacts.balanced_pairs(_pairs(spark, d), 64, 20260819)
 
 
+PAIRS_PER_CLASS = 4096
+
+
+@query("pair_sample_balanced_4096", f"WITH {_PAIRS} SELECT chain, contact, i, j, row_number() OVER (PARTITION BY chain, contact ORDER BY {key('20260819', 'chain', 'i', 'j')}) AS rn FROM pr QUALIFY rn <= {PAIRS_PER_CLASS}")
+def pair_sample_balanced_4096(spark, d):
+    """:func:`pair_sample_balanced` with the cap of the reference."""
+    return contacts.balanced_pairs(_pairs(spark, d), PAIRS_PER_CLASS, 20260819)
+
+
 @query(
     "symmetrize",
     f"""WITH {_POINTS} SELECT a.chain, a.pos AS i, b.pos AS j, round((a.embedding[b.pos + 1]::DOUBLE + b.embedding[a.pos + 1]::DOUBLE) / 2, 6) AS value

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from strandwork.operators import corpus
+from strandwork.operators import contacts, corpus
 from strandwork.plans import catalog
 
 
@@ -35,3 +35,16 @@ def test_validation_is_whole_and_eligible(spark, tmp_path):
     expected = [("mgnify", i + 1, h, k) for i, (h, k) in enumerate(wanted)] + [("uniref90", 1, digest_of(words[0]), 100)]
     assert sorted(map(tuple, catalog.queries()["validation_first_4096"](spark, str(tmp_path)).collect())) == expected
     assert [r["rn"] for r in corpus.validation_set(released, evaluation, hits, 3).where("source = 'mgnify'").orderBy("rn").collect()] == [1, 2, 3]
+
+
+def test_pair_sample_keeps_every_pair_of_a_full_chain(spark, tmp_path):
+    rows = [(p, p % 3, [float(p), 1.0]) for p in range(100)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r["i"], r["j"]) for r in catalog.queries()["pair_sample_balanced_4096"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(i, j) for i in range(100) for j in range(i + 24, 100)] and len(got) == 2926
+
+
+def test_pair_sample_cap(spark):
+    pairs = spark.range(4200).selectExpr("1 AS chain", "id AS i", "id + 24 AS j", "0.0 AS score", "id < 100 AS contact")
+    got = contacts.balanced_pairs(pairs, 4096, 20260819).groupBy("contact").count().collect()
+    assert sorted(map(tuple, got)) == [(False, 4096), (True, 100)]
