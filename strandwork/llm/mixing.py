@@ -62,11 +62,6 @@ def train_records(released: DataFrame) -> DataFrame:
     )
 
 
-def supplies(released: DataFrame) -> DataFrame:
-    """``source, records, residues`` over the distinct train records."""
-    return train_records(released).groupBy("source").agg(F.count("*").alias("records"), F.sum("length").alias("residues"))
-
-
 def demands(stages: DataFrame, global_rows: DataFrame, supply: DataFrame) -> DataFrame:
     """One row per mixture entry: need, supply, allowed and full passes, and the rest to take from a hash prefix.
 
@@ -87,23 +82,40 @@ def demands(stages: DataFrame, global_rows: DataFrame, supply: DataFrame) -> Dat
     )
 
 
-def shortfalls(stages: DataFrame, global_rows: DataFrame, released: DataFrame) -> DataFrame:
-    """``stage, source`` of the entries with a weight above 0 whose source can't fill its share."""
-    rows = demands(stages, global_rows, supplies(released))
-    return rows.where((F.col("weight") > 0) & (F.col("supply") < F.col("need"))).select("stage", "source")
+def shortfalls(stages: DataFrame, global_rows: DataFrame, released: DataFrame, seed: int = SEED) -> DataFrame:
+    """``stage, source`` of the entries with a weight above 0 whose source can't fill its share.
+
+    That is, where no bucket of the first histogram crosses the need in the last allowed pass.
+    """
+    histogram = _histogram(_hashed(train_records(released), seed).withColumn("prefix", F.lit(0).cast("bigint")), 0)
+    histogram = histogram.withColumn("whole", F.sum("residues").over(Window.partitionBy("source")))
+    wanted = stage_weights(stages).where("weight > 0 AND need > 0").join(pass_limits(global_rows), ["stage", "source"], "left").withColumn("passes", F.coalesce("passes", F.lit(1)))
+    crossed = F.col("upto") + (F.col("passes") - 1) * F.col("whole") >= F.col("need")
+    entries = wanted.join(histogram, "source", "left").groupBy("stage", "source", "weight", "need").agg(F.coalesce(F.bool_or(crossed), F.lit(False)).alias("filled"))
+    return entries.where("NOT filled").select("stage", "source")
 
 
 def _digit(level: int) -> Column:
     return F.shiftright("h", 52 - DIGIT * (level + 1)).bitwiseAND(F.lit((1 << DIGIT) - 1))
 
 
+def _hashed(records: DataFrame, seed: int) -> DataFrame:
+    return records.select("source", "length", hash52(seed, F.col("record_id")).alias("h"))
+
+
+def _histogram(hashed: DataFrame, level: int) -> DataFrame:
+    """``source, prefix, bucket, residues, upto``: residues per hash bucket of a level, and the sum up to it."""
+    histogram = hashed.groupBy("source", "prefix", _digit(level).alias("bucket")).agg(F.sum("length").alias("residues"))
+    return histogram.withColumn("upto", F.sum("residues").over(Window.partitionBy("source", "prefix").orderBy("bucket")))
+
+
 def prefix_thresholds(records: DataFrame, wants: DataFrame, seed: int = SEED) -> DataFrame:
     """``stage, source, threshold``: the largest hash of the smallest hash prefix whose residues reach ``rest``.
 
     ``records``: ``record_id, source, length``; ``wants``: ``stage, source, rest`` with
     ``rest > 0`` and at most what the source holds. Records with equal hashes enter together.
     """
-    hashed = records.select("source", "length", hash52(seed, F.col("record_id")).alias("h"))
+    hashed = _hashed(records, seed)
     # state: what is still wanted inside the bucket named by the prefix found so far
     state = wants.select("stage", "source", "rest", F.lit(0).cast("bigint").alias("prefix"))
     for level in range(LEVELS):
@@ -111,9 +123,7 @@ def prefix_thresholds(records: DataFrame, wants: DataFrame, seed: int = SEED) ->
             inside = hashed
         else:
             inside = hashed.withColumn("prefix", F.shiftright("h", 52 - DIGIT * level)).join(F.broadcast(state.select("source", "prefix").distinct()), ["source", "prefix"], "left_semi")
-        histogram = inside.withColumn("prefix", F.shiftright("h", 52 - DIGIT * level)).groupBy("source", "prefix", _digit(level).alias("bucket")).agg(F.sum("length").alias("residues"))
-        running = Window.partitionBy("source", "prefix").orderBy("bucket")
-        histogram = histogram.withColumn("upto", F.sum("residues").over(running))
+        histogram = _histogram(inside.withColumn("prefix", F.shiftright("h", 52 - DIGIT * level)), level)
         crossing = Window.partitionBy("stage", "source").orderBy("bucket")
         # sources x stages rows at most: the boundary buckets of this level
         state = settle(

@@ -116,3 +116,13 @@ def test_pack(spark, per_partition):
 def test_pack_of_nothing(spark):
     stages = spark.createDataFrame([("x", 100, None, 1)], STAGES)
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), stages).count() == 0
+
+
+def test_shortfalls_come_from_the_histogram(spark, monkeypatch):
+    levels, plain = [], mixing._histogram
+    monkeypatch.setattr(mixing, "_histogram", lambda hashed, level: levels.append(level) or plain(hashed, level))
+    stages = spark.createDataFrame([("s", {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0, "e": 0.0, "f": None}, 400)], "name string, mixture map<string, double>, budget_residues long")
+    rows = spark.createDataFrame([("s", "b", True, 2), ("s", "c", False, 9)], "stage string, source string, allow_resampling boolean, max_epochs int")
+    released = spark.createDataFrame([(i, s, "train", n) for i, (s, n) in enumerate([("a", 60), ("a", 40), ("b", 25), ("b", 25), ("c", 99)])], "record_id long, source string, split string, length int")
+    # 100 each: a has just that, b in two passes, c has one residue too few and one pass, d has no rows
+    assert sorted(map(tuple, mixing.shortfalls(stages, rows, released).collect())) == [("s", "c"), ("s", "d")] and levels == [0]
