@@ -5,12 +5,15 @@ split. Records are canonicalised (case, white space, trailing marks, foreign cha
 hashed, and the hashes are joined at two grains:
 
 1. *Whole records.* The digests of both sides, without regard to letter case.
-2. *Blocks.* An evaluation record is cut into aligned blocks of ``BLOCK`` residues, and these are
+2. *Blocks.* Blocks of ``BLOCK`` residues of an evaluation record, at a stride, are
    joined with every window of every train record, at any offset. Why a block must stand in any
    train record that holds at least ``SHARE`` of the distinct ``GRAM``-grams: such a record may miss
-   ``U`` of them. An edit, or a joint of moved pieces, breaks one block and at least ``GRAM - 1``
-   grams; each end of the matching stretch may cut one more block for a single gram. So at most
-   ``2 + (U - 2) // (GRAM - 1)`` blocks are broken, and most records have more. Where they don't
+   ``U`` of them. Edits and joints of moved pieces take out runs of ``m >= GRAM - 2`` grams
+   (a substitution 5, two adjacent ones 6, a joint 4, an insertion that repeats its neighbour 3), and
+   with them the ``m + BLOCK - GRAM`` windows that touch the run. At a stride of 8 that is at best
+   a block for 3 grams, at a stride of 3 it is 3 blocks for 4 (``COVERING``); each end of the matching
+   stretch may cut one more block for a single gram. The first stride is taken at which a record has
+   more blocks than can be broken. Where none is
    (short or repetitive records), all windows of the evaluation record are joined instead: its
    shared grams form at most ``U // (GRAM - 2) + 1`` runs (an insertion that repeats its neighbour
    breaks one gram less), so one run is long enough to hold a window. Where even that proves nothing (a few residues, or one repeated motif), the record goes
@@ -46,6 +49,9 @@ GRAM = 5
 BLOCK = 8
 SHARE = (3, 5)  # 0.6 as a fraction
 GRAM_TAG = 1 << 60
+# (stride, blocks broken, for so many grams)
+ALIGNED = ((BLOCK, 1, GRAM - 1),)  # edits that don't straddle two blocks
+COVERING = ((BLOCK, 1, GRAM - 2), (3, 3, 4))
 HOT = 1000
 BATCH_RESIDUES = 1 << 20
 
@@ -67,12 +73,12 @@ def needed(grams: int) -> int:
     return -(-grams * SHARE[0] // SHARE[1])
 
 
-def evaluation_keys(sequence: str) -> tuple[list[int], int]:
+def evaluation_keys(sequence: str, strides: tuple[tuple[int, int, int], ...] = ALIGNED) -> tuple[list[int], int]:
     """The join keys of one evaluation record, and how many of them it can spare.
 
-    Keys are aligned blocks, all windows, or tagged grams: the first of them that finds every
-    matching train record by the count argument of the module. Any ``spare`` of the aligned
-    blocks may be left out.
+    Keys are blocks at one of the ``strides``, all windows, or tagged grams: the first of them
+    that finds every matching train record by the count argument of the module. Any ``spare`` of
+    the blocks may be left out. ``COVERING`` holds for edits anywhere.
     """
     if len(sequence) < GRAM:
         return [], 0
@@ -83,10 +89,11 @@ def evaluation_keys(sequence: str) -> tuple[list[int], int]:
     missing = len(distinct) - shared
     # grams that recur may be missing at each of their places
     lost = missing + len(grams) - len(distinct)
-    broken = max(ends + (lost - ends) // (GRAM - 1) for ends in range(min(2, lost) + 1))
-    blocks = every[::BLOCK]
-    if len(blocks) > broken:
-        return blocks.tolist(), len(blocks) - broken - 1
+    for stride, blocks, per in strides:
+        broken = max(ends + (lost - ends) * blocks // per for ends in range(min(2, lost) + 1))
+        keys = np.unique(every[::stride])
+        if len(keys) > broken:
+            return keys.tolist(), len(keys) - broken - 1
     runs = lost // (GRAM - 2) + 1
     if -(-shared // runs) + GRAM - 1 >= BLOCK:
         return np.unique(every).tolist(), 0
@@ -205,7 +212,7 @@ def near_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [evaluation_keys(s) for s in pdf["norm"]]
+            found = [evaluation_keys(s, COVERING) for s in pdf["norm"]]
             out = pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "key": [k for k, _ in found], "spare": [n for _, n in found]})
             yield out.explode("key").dropna().astype({"key": "int64"})
 

@@ -99,3 +99,19 @@ def test_canonical_report_counts_equal_sequences_without_equal_digests(spark):
     rows = overlap.canonical_report(spark.createDataFrame(evaluation, EV), spark.createDataFrame(released, REL), hits).collect()
     # 1 and 10, 2 and 11, 3 and 10 are exact; 1 and 13 overlap and are claimed, by the computed digest of 1
     assert [tuple(r) for r in rows] == [("protected", "test", None, 4, 3, 4, 3, 1, 0.9)]
+
+
+def test_edits_across_block_boundaries(spark):
+    rng = random.Random(11)
+    evaluation, released = [], []
+    for k, size in enumerate([100, 240, 500, 992]):
+        s = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=size))
+        t = list(s)
+        for p in range(7, size - 1, 16):
+            t[p], t[p + 1] = ("W" if c != "W" else "M" for c in t[p : p + 2])
+        evaluation.append((k, "test", s, None))
+        released.append((100 + k, "a", "train", "".join(t), None))
+        # each aligned block holds an edited residue
+        assert not any(s[i : i + 8] in released[-1][3] for i in range(0, size - 7, 8))
+    got = overlap.overlaps(spark.createDataFrame(evaluation, EV), spark.createDataFrame(released, REL))
+    assert sorted(map(tuple, got.collect())) == brute(evaluation, released) == [(k, 100 + k) for k in range(4)]
