@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.runtime import settle
@@ -110,6 +110,11 @@ def _exchange(pdf: pd.DataFrame, number: int) -> pd.DataFrame:
     return pdf.drop(columns=["pool"])
 
 
+def pool_of(part: Column, parts: Column, number: int) -> Column:
+    """The pool of a partition in an exchange: neighbours first, then those a stride apart, about ``POOL`` each time."""
+    return F.floor(part / POOL) if number == 1 else part % F.ceil(parts / POOL)
+
+
 def _exchanger(number: int):
     return lambda pdf: _exchange(pdf, number)[_COLUMNS]
 
@@ -140,8 +145,7 @@ def pack(tokens: DataFrame, stages: DataFrame, exchanges: int = EXCHANGES, per_p
     packed = settle(spread.select(*columns).groupBy("stage", "part").applyInPandas(lambda pdf: _pack(pdf)[_COLUMNS], PACKED), "pack-0")
     for number in range(1, exchanges + 1):
         # partitions with a gap pool their containers that aren't full
-        pooling = F.col("part") % F.lit(POOL**number) if number > 1 else F.floor(F.col("part") / POOL)
-        open_ = packed.where("gap > 0 AND fill < capacity").withColumn("pool", pooling.cast("bigint"))
+        open_ = packed.where("gap > 0 AND fill < capacity").join(F.broadcast(parts), "stage").withColumn("pool", pool_of(F.col("part"), F.col("parts"), number).cast("bigint")).drop("parts")
         done = packed.where("NOT (gap > 0 AND fill < capacity)")
         repacked = open_.groupBy("stage", "pool").applyInPandas(_exchanger(number), PACKED)
         packed = settle(done.unionByName(repacked), f"pack-{number}")

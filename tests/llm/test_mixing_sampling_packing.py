@@ -126,3 +126,11 @@ def test_shortfalls_come_from_the_histogram(spark, monkeypatch):
     released = spark.createDataFrame([(i, s, "train", n) for i, (s, n) in enumerate([("a", 60), ("a", 40), ("b", 25), ("b", 25), ("c", 99)])], "record_id long, source string, split string, length int")
     # 100 each: a has just that, b in two passes, c has one residue too few and one pass, d has no rows
     assert sorted(map(tuple, mixing.shortfalls(stages, rows, released).collect())) == [("s", "c"), ("s", "d")] and levels == [0]
+
+
+@pytest.mark.parametrize("parts", [24, 64, 640])
+def test_second_exchange_pools_other_partitions(spark, parts):
+    rows = spark.range(parts).select(*[packing.pool_of(F.col("id"), F.lit(parts), n).alias(f"p{n}") for n in (1, 2)]).collect()
+    for pool in {r["p2"] for r in rows}:
+        first = [r["p1"] for r in rows if r["p2"] == pool]
+        assert len(first) == packing.POOL and len(set(first)) >= 3
