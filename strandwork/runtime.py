@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -35,8 +36,9 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) a temporary folder is made and installed as the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset, and only on a local
+    master (tests, a laptop), a temporary folder is made and installed as the checkpoint folder; a cluster
+    must name one, as its executors share no machine-local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -44,19 +46,44 @@ def scratch_dir(spark: SparkSession) -> str:
     active = spark.sparkContext.getCheckpointDir()
     if active:
         return active
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandwork-"))
     return spark.sparkContext.getCheckpointDir()
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder below :func:`scratch_dir`; it is dropped when the driver's Python ends."""
+    root = f"{scratch_dir(spark).rstrip('/')}/strandwork/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(drop_scratch, spark)
+    return root
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the written tables of this application. Call it once the results that read them are out."""
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is None or spark.sparkContext._jsc is None:
+        return
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_roots: set[str] = set()
+
+
+def settle(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
     This cuts the lineage durably: a lost executor costs at most the re-read of a file,
-    and a table used by several branches is computed once.
+    and a table used by several branches is computed once. With ``partition_by`` a filter on that
+    column reads its files only. The tables live until :func:`drop_scratch`, or the end of the driver.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/strandwork/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
