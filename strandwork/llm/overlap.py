@@ -2,70 +2,71 @@
 
 Evaluation records (the protected set and the validation split) are held against the train
 split. Records are canonicalised (case, white space, trailing marks, foreign characters) and
-hashed, and the hashes are joined at two grains:
-
-1. *Whole records.* The digests of both sides, without regard to letter case.
-2. *Blocks.* Blocks of ``BLOCK`` residues of an evaluation record, at a stride, are
-   joined with every window of every train record, at any offset. Why a block must stand in any
-   train record that holds at least ``SHARE`` of the distinct ``GRAM``-grams: such a record may miss
-   ``U`` of them. Edits and joints of moved pieces take out runs of ``m >= GRAM - 2`` grams
-   (a substitution 5, two adjacent ones 6, a joint 4, an insertion that repeats its neighbour 3), and
-   with them the ``m + BLOCK - GRAM`` windows that touch the run. At a stride of 8 that is at best
-   a block for 3 grams, at a stride of 3 it is 3 blocks for 4 (``COVERING``); each end of the matching
-   stretch may cut one more block for a single gram. The first stride is taken at which a record has
-   more blocks than can be broken. Where none is
-   (short or repetitive records), all windows of the evaluation record are joined instead: its
-   shared grams form at most ``U // (GRAM - 2) + 1`` runs (an insertion that repeats its neighbour
-   breaks one gram less), so one run is long enough to hold a window. Where even that proves nothing (a few residues, or one repeated motif), the record goes
-   the exact way: ``U + 1`` of its grams are joined, of which one must occur.
-
-A record keeps more blocks than it needs; of blocks that very many train records hold, it leaves
-out as many as it can spare. Candidates of the second grain are then counted exactly. The train side never shuffles its
-windows: a bit map over the evaluation blocks (of bounded size) is
-broadcast and drops nearly all windows in the scan. Beyond its bound the map only lets more
-windows through; nothing is lost.
-
-Records with equal canonical sequences are one class; classes are compared, members expanded
-last. Null sequences have no blocks, null digests no digest match; a sequence shorter than
-``GRAM`` matches by digest only. Repeated rows count once.
+hashed; evaluation hashes are joined with train hashes, at two grains:
+
+1. *Whole records.* The declared digests, without regard to letter case, and the hashes of the
+   canonical sequences.
+2. *Grams.* A match must hold ``N`` of the ``D`` distinct ``GRAM``-grams of the evaluation record,
+   ``N / D >= SHARE``, so it may miss ``D - N`` of them. Of any ``D - N + c`` grams it holds at least
+   ``c``. Each evaluation record therefore enters an index under its ``D - N + c`` rarest grams, and a
+   train record is compared with those records that it meets under ``c = MATCHES`` grams or more. This
+   holds for any edit: nothing is assumed about runs, blocks or positions. Whoever passes is
+   counted exactly, over all grams, in the same task.
+
+Grams are five residues of an alphabet of 25: their code *is* the gram, below ``25^5``. The evaluation
+records are the query set. It goes over the train split in *passes* of at most ``PASS_GRAMS`` grams,
+broadcast in blocks of about ``BLOCK_GRAMS`` (a pass is closed before its measured size exceeds the bound;
+a single record has at most ``25^5`` grams). A pass is one scan of the train split without a
+shuffle, whatever gram or record is hot on either side: only true pairs leave it.
+
+"Rarest" is by the number of evaluation classes that hold the gram, for those held by more than one
+class in ``FREQUENT`` (there are at most ``FREQUENT`` times the mean size of such grams), and by residue
+frequencies for the others. The order only affects the speed.
+
+Records with equal canonical sequences are one class on the evaluation side; members are expanded
+last. Null sequences have no grams, null digests no digest match; a sequence shorter than ``GRAM`` matches
+by its declared digest only. Repeated rows count once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.hashing import content_key
 from strandwork.functions.sequence import RESIDUES, normalised
-from strandwork.llm.bits import bit_map, bits_for, present
 from strandwork.runtime import fan_out, settle, spread
 
 GRAM = 5
-BLOCK = 8
 SHARE = (3, 5)  # 0.6 as a fraction
-GRAM_TAG = 1 << 60
-# (stride, blocks broken, for so many grams)
-ALIGNED = ((BLOCK, 1, GRAM - 1),)  # edits that don't straddle two blocks
-COVERING = ((BLOCK, 1, GRAM - 2), (3, 3, 4))
-HOT = 1000
-BATCH_RESIDUES = 1 << 20
-
-_CODES = np.zeros(256, dtype=np.uint64)
+MATCHES = 3
+FREQUENT = 1000
+BLOCK_GRAMS = 1 << 20
+PASS_GRAMS = 1 << 24
+BATCH_RESIDUES = 1 << 19
+MOST_HITS = 1 << 22
+UNIVERSE = len(RESIDUES) ** GRAM
+
+_CODES = np.zeros(256, dtype=np.int32)
 for _i, _c in enumerate(RESIDUES):
-    _CODES[ord(_c)] = _i + 1
+    _CODES[ord(_c)] = _i
 
 
-def packed_windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every gram and every block of residues, packed five bits a residue (exact, not hashed)."""
-    five = np.uint64(5)
-    two = codes[:-1] << five | codes[1:]
-    four = two[:-2] << np.uint64(10) | two[2:]
-    return four[:-1] << five | codes[4:], four[:-4] << np.uint64(20) | four[4:]
+def gram_codes(text: bytes) -> np.ndarray:
+    """The code of the gram at every position but the last ``GRAM - 1``."""
+    codes = _CODES[np.frombuffer(text, dtype=np.uint8)]
+    size = max(0, len(codes) - GRAM + 1)
+    out = np.zeros(size, dtype=np.int32)
+    for i in range(GRAM):
+        out *= len(RESIDUES)
+        out += codes[i : i + size]
+    return out
 
 
 def needed(grams: int) -> int:
@@ -73,98 +74,21 @@ def needed(grams: int) -> int:
     return -(-grams * SHARE[0] // SHARE[1])
 
 
-def evaluation_keys(sequence: str, strides: tuple[tuple[int, int, int], ...] = ALIGNED) -> tuple[list[int], int]:
-    """The join keys of one evaluation record, and how many of them it can spare.
+def indexed(grams: int) -> tuple[int, int]:
+    """How many of a record's grams enter the index, and how often each.
 
-    Keys are blocks at one of the ``strides``, all windows, or tagged grams: the first of them
-    that finds every matching train record by the count argument of the module. Any ``spare`` of
-    the blocks may be left out. ``COVERING`` holds for edits anywhere.
+    A record of which fewer than ``MATCHES`` grams are needed enters under them several times, so that
+    ``MATCHES`` entries are met in any case.
     """
-    if len(sequence) < GRAM:
-        return [], 0
-    codes = _CODES[np.frombuffer(sequence.encode("ascii"), dtype=np.uint8)]
-    grams, every = packed_windows(codes) if len(codes) >= BLOCK else (_short_grams(codes), codes[:0])
-    distinct = np.unique(grams)
-    shared = needed(len(distinct))
-    missing = len(distinct) - shared
-    # grams that recur may be missing at each of their places
-    lost = missing + len(grams) - len(distinct)
-    for stride, blocks, per in strides:
-        broken = max(ends + (lost - ends) * blocks // per for ends in range(min(2, lost) + 1))
-        keys = np.unique(every[::stride])
-        if len(keys) > broken:
-            return keys.tolist(), len(keys) - broken - 1
-    runs = lost // (GRAM - 2) + 1
-    if -(-shared // runs) + GRAM - 1 >= BLOCK:
-        return np.unique(every).tolist(), 0
-    return [GRAM_TAG | int(g) for g in distinct[: missing + 1]], 0
-
-
-def _short_grams(codes: np.ndarray) -> np.ndarray:
-    out = [0] * (len(codes) - GRAM + 1)
-    for i in range(len(out)):
-        for c in codes[i : i + GRAM].tolist():
-            out[i] = out[i] << 5 | int(c)
-    return np.array(out, dtype=np.uint64)
-
-
-def train_hits(train: DataFrame, words: np.ndarray, bits: int, tagged: bool) -> DataFrame:
-    """The train rows with at least one window in the bit map, with those windows as ``keys``.
-
-    ``train``: ``record_id, k1, k2, norm``.
-    """
-    shared = train.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        map_ = shared.value
-        for batch in batches:
-            column = batch.column(3)
-            sequences = column.to_pylist()
-            begin = 0
-            while begin < len(sequences):
-                size, end = 0, begin
-                while end < len(sequences) and (end == begin or size + len(sequences[end]) < BATCH_RESIDUES):
-                    size += len(sequences[end]) + 1
-                    end += 1
-                # a code of 0 between sequences marks windows that cross them
-                joined = "\0".join(sequences[begin:end]) + "\0" * BLOCK
-                codes = _CODES[np.frombuffer(joined.encode("ascii"), dtype=np.uint8)]
-                gap = np.cumsum(codes == 0)
-                grams, blocks = packed_windows(codes)
-                starts = np.cumsum([0] + [len(s) + 1 for s in sequences[begin : end - 1]])
-                at = present(map_, blocks, bits)
-                at = at[(gap[at + BLOCK - 1] == gap[at]) & (codes[at] > 0)]
-                key = blocks[at]
-                if tagged:
-                    also = present(map_, grams | np.uint64(GRAM_TAG), bits)
-                    also = also[(gap[also + GRAM - 1] == gap[also]) & (codes[also] > 0)]
-                    at, key = np.concatenate([at, also]), np.concatenate([key, grams[also] | np.uint64(GRAM_TAG)])
-                own = np.searchsorted(starts, at, side="right") - 1
-                order = np.argsort(own, kind="stable")
-                own, key = own[order], key[order]
-                rows, counts = np.unique(own, return_counts=True)
-                if len(rows):
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(key.astype(np.int64)))
-                    take = pa.array(rows + begin)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), lists], names=["record_id", "k1", "k2", "norm", "keys"])
-                begin = end
-
-    return spread(train.select("record_id", "k1", "k2", "norm")).mapInArrow(run, "record_id long, k1 long, k2 long, norm string, keys array<long>")
+    asked = min(MATCHES, needed(grams))
+    return grams - needed(grams) + asked, -(-MATCHES // max(1, asked))
 
 
 def contained(evaluation: str, train: str) -> bool:
     """Whether enough of the distinct grams of ``evaluation`` occur in ``train``."""
     own = {evaluation[i : i + GRAM] for i in range(len(evaluation) - GRAM + 1)}
-    if not own:
-        return False
     other = {train[i : i + GRAM] for i in range(len(train) - GRAM + 1)}
-    return len(own & other) >= needed(len(own))
-
-
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keep = [contained(e, t) for e, t in zip(pdf["e_norm"], pdf["t_norm"])]
-        yield pdf.loc[keep, ["e1", "e2", "k1", "k2"]]
+    return bool(own) and len(own & other) >= needed(len(own))
 
 
 def evaluation_side(evaluation: DataFrame, released: DataFrame) -> DataFrame:
@@ -178,62 +102,208 @@ def train_side(released: DataFrame) -> DataFrame:
     return released.where((F.col("split") == "train") & F.col("record_id").isNotNull())
 
 
-def _keyed(df: DataFrame, *columns: str) -> DataFrame:
-    sequence = normalised(F.col("sequence"))
-    k1, k2 = content_key(F.col("norm"))
-    return df.where(F.col("sequence").isNotNull()).select(*columns, sequence.alias("norm")).select(*columns, k1.alias("k1"), k2.alias("k2"), "norm")
+def record_hashes(rows: DataFrame, key: str, digest: str) -> DataFrame:
+    """``key, kind, h1, h2``: a hash of the declared digest (kind 0) and one of the canonical sequence (kind 1) of each record.
+
+    Null digests, and null sequences or ones shorter than a gram, have none.
+    """
+    norm = normalised(F.col("sequence"))
+
+    def entry(kind: int, value: Column, known: Column) -> Column:
+        h1, h2 = content_key(value)
+        return F.when(known, F.struct(F.lit(kind).alias("kind"), h1.alias("h1"), h2.alias("h2")))
 
+    declared = F.lower(digest)
+    both = F.array(entry(0, declared, declared.isNotNull()), entry(1, norm, F.length(norm) >= GRAM))
+    return rows.select(key, F.inline(F.filter(both, lambda h: h.isNotNull())))
 
-def digest_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
-    """``eval_id, record_id`` of equal digests."""
-    left = evaluation_side(evaluation, released).where("digest IS NOT NULL").select("eval_id", "digest").distinct()
-    right = train_side(released).where("sha256 IS NOT NULL").select("record_id", F.lower("sha256").alias("digest")).distinct()
-    return left.join(right, "digest").select("eval_id", "record_id").distinct()
 
+def hash_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
+    """``eval_id, record_id`` whose declared digests, or whose canonical sequences, have equal hashes."""
+    left = record_hashes(evaluation_side(evaluation, released), "eval_id", "digest").distinct()
+    right = record_hashes(train_side(released), "record_id", "sha256")
+    return left.join(right, ["kind", "h1", "h2"]).select("eval_id", "record_id")
 
-def without_hot_keys(keys: DataFrame, windows: DataFrame, hot: int = HOT) -> DataFrame:
-    """``keys`` without the most frequent ones that their records can spare.
 
-    Only keys held by more than ``hot`` train classes are dropped (a stretch common to very
-    many records says little and would pair them all); a record keeps enough keys to be found.
-    """
-    frequent = settle(windows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "overlap-hot")
-    if frequent.isEmpty():
-        return keys
-    order = Window.partitionBy("k1", "k2").orderBy(F.desc_nulls_last("n"), "key")  # the keys of one record
-    rated = keys.join(frequent, "key", "left").withColumn("rn", F.row_number().over(order))
-    return rated.where("n IS NULL OR rn > spare").drop("n", "rn")
+def evaluation_grams(classes: DataFrame) -> DataFrame:
+    """``e1, e2, grams``: the distinct grams of each class. ``classes``: ``e1, e2, norm``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(gram_codes(s.encode("ascii"))) for s in batch.column(2).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["e1", "e2", "grams"])
+
+    return fan_out(classes.where(F.length("norm") >= GRAM)).mapInArrow(run, "e1 long, e2 long, grams array<int>")
+
+
+def residue_ranks(frequencies: np.ndarray) -> np.ndarray:
+    """The expected frequency of every gram (25^5 of them), in logarithms, from those of the residues."""
+    single = np.log(frequencies.astype(np.float64) + 1).astype(np.float32)
+    return reduce(lambda a, b: (a[:, None] + b[None, :]).reshape(-1), [single] * GRAM)
+
+
+def rarest_first(classes: DataFrame, grams: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+    """``e1, e2, block, grams``: each class's grams with the rarest first, and its block of the query set."""
+    count, total = sizes
+    common = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > max(64, count // FREQUENT)).toArrow()
+    letters = classes.select(*[F.sum(F.length("norm") - F.length(F.replace("norm", F.lit(c), F.lit("")))).alias(c) for c in RESIDUES]).first()
+    frequencies = np.array([x or 0 for x in letters])
+    shared = classes.sparkSession.sparkContext.broadcast((frequencies, common.column("gram").to_numpy(), common.column("n").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = residue_ranks(shared.value[0])
+        ranks[shared.value[1]] = ranks.max(initial=0) + shared.value[2]
+        for batch in batches:
+            column = batch.column(3)
+            values, ends = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+            own = np.repeat(np.arange(len(column)), np.diff(ends))
+            order = np.lexsort((values, ranks[values], own))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], names=["e1", "e2", "block", "grams"])
+
+    block = F.pmod(F.xxhash64("e1", "e2"), F.lit(-(-total // BLOCK_GRAMS) or 1)).cast("int")
+    return fan_out(grams.select("e1", "e2", block.alias("block"), "grams")).mapInArrow(run, "e1 long, e2 long, block int, grams array<int>")
+
+
+def passes(sizes: dict[int, int], most: int = PASS_GRAMS) -> list[list[int]]:
+    """Blocks by pass: each pass takes blocks until the next one would carry it over the bound."""
+    out, held = [], 0
+    for block in sorted(sizes):
+        if not out or held + sizes[block] > most:
+            out.append([])
+            held = 0
+        out[-1].append(block)
+        held += sizes[block]
+    return out
+
+
+class GramIndex:
+    """The evaluation classes of one pass under their rarest grams, and all their grams."""
+
+    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.e1, self.e2, size, self.grams = (np.concatenate(x) for x in zip(*blocks))
+        self.ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        kinds, kind = np.unique(size, return_inverse=True)
+        taken, often = np.array([indexed(n) for n in kinds.tolist()]).reshape(-1, 2).T
+        taken, often = taken[kind], often[kind]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), taken)
+        first = np.arange(len(owner)) - np.repeat(np.cumsum(taken) - taken, taken)
+        key = self.grams[self.ends[owner] + first]
+        key, owner = np.repeat(key, often[owner]), np.repeat(owner, often[owner])
+        order = np.argsort(key, kind="stable")
+        self.owner = owner[order]
+        count = np.bincount(key, minlength=UNIVERSE)
+        self.starts = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        self.known = count > 0
+
+    def candidates(self, grams: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(record, class)`` that meet under ``MATCHES`` grams or more. Record ``r`` has ``grams[ends[r]:ends[r + 1]]``."""
+        out = [np.zeros(0, dtype=np.int64)]
+        at = np.flatnonzero(self.known[grams])
+        record, gram = np.searchsorted(ends, at, side="right") - 1, grams[at]
+        count = self.starts[gram + 1] - self.starts[gram]
+        reached = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        begin = 0
+        while begin < len(at):
+            # whole records, with a bounded number of hits unless one record has more
+            end = int(np.searchsorted(reached, reached[begin] + MOST_HITS, side="right")) - 1
+            if end < len(at):
+                whole = int(np.searchsorted(record, record[end]))
+                end = whole if whole > begin else int(np.searchsorted(record, record[begin], side="right"))
+            n = count[begin:end]
+            place = np.repeat(self.starts[gram[begin:end]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            keys = np.sort(np.repeat(record[begin:end], n) * len(self.e1) + self.owner[place])
+            met = keys[MATCHES - 1 :]
+            out.append(np.unique(met[met == keys[: len(met)]]))
+            begin = end
+        found = np.concatenate(out)
+        return found // max(1, len(self.e1)), found % max(1, len(self.e1))
+
+    def matches(self, grams: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(record, class)`` for which the record holds enough of the class's grams."""
+        record, owner = self.candidates(grams, ends)
+        keep = np.zeros(len(record), dtype=bool)
+        last, held = -1, None
+        for i, (r, e) in enumerate(zip(record.tolist(), owner.tolist())):
+            if r != last:
+                last, held = r, np.unique(grams[ends[r] : ends[r + 1]])
+            own = self.grams[self.ends[e] : self.ends[e + 1]]
+            at = np.searchsorted(held, own)
+            keep[i] = np.count_nonzero(held[np.minimum(at, len(held) - 1)] == own) >= needed(len(own))
+        return record[keep], owner[keep]
+
+
+_indexes: dict[tuple, GramIndex] = {}
+
+
+def _index(blocks: list[Broadcast], name: tuple) -> GramIndex:
+    """The index of a pass, built once per Python worker; the last one only is kept."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = GramIndex([b.value for b in blocks])
+    return _indexes[name]
+
+
+def train_matches(train: DataFrame, blocks: list[Broadcast], name: tuple) -> DataFrame:
+    """``record_id, e1, e2``: exact matches of the train rows with the classes of one pass. ``train``: ``record_id, norm``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(blocks, name)
+        for batch in batches:
+            sequences = batch.column(1).to_pylist()
+            begin = 0
+            while begin < len(sequences):
+                size, end = 0, begin
+                while end < len(sequences) and (end == begin or size + len(sequences[end]) < BATCH_RESIDUES):
+                    size += len(sequences[end])
+                    end += 1
+                lengths = np.array([len(s) for s in sequences[begin:end]])
+                grams = gram_codes("".join(sequences[begin:end]).encode("ascii"))
+                inside = np.ones(len(grams), dtype=bool)
+                for back in range(1, GRAM):
+                    inside[np.cumsum(lengths)[:-1] - back] = False
+                record, owner = index.matches(grams[inside], np.concatenate([[0], np.cumsum(lengths - GRAM + 1)]))
+                if len(record):
+                    ids = batch.column(0).take(pa.array(record + begin))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(index.e1[owner]), pa.array(index.e2[owner])], names=["record_id", "e1", "e2"])
+                begin = end
+
+    return spread(train).mapInArrow(run, "record_id long, e1 long, e2 long")
 
 
 def near_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
     """``eval_id, record_id`` where the train record holds enough of the evaluation record's grams."""
-    side = settle(_keyed(evaluation_side(evaluation, released), "eval_id"), "overlap-evaluation")
-    classes = side.groupBy("k1", "k2").agg(F.first("norm").alias("norm"))
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [evaluation_keys(s, COVERING) for s in pdf["norm"]]
-            out = pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "key": [k for k, _ in found], "spare": [n for _, n in found]})
-            yield out.explode("key").dropna().astype({"key": "int64"})
-
-    keys = settle(fan_out(classes).mapInPandas(keyed, "k1 long, k2 long, key long, spare int").distinct(), "overlap-keys")
-    total, tagged = keys.agg(F.count("*"), F.count_if(F.col("key") >= GRAM_TAG)).first()
-    bits = bits_for(total)
-    hits = settle(train_hits(_keyed(train_side(released), "record_id"), bit_map(keys, bits), bits, tagged > 0), "overlap-hits")
-    windows = hits.select("k1", "k2", F.explode("keys").alias("key")).distinct()
-    named = without_hot_keys(keys, windows).select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), "key")
-    candidates = windows.join(named, "key").select("e1", "e2", "k1", "k2").distinct()
-    with_train = candidates.join(hits.groupBy("k1", "k2").agg(F.first("norm").alias("t_norm")), ["k1", "k2"])
-    with_both = with_train.join(classes.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("norm").alias("e_norm")), ["e1", "e2"])
-    pairs = settle(with_both.mapInPandas(_verify, "e1 long, e2 long, k1 long, k2 long"), "overlap-pairs")
-    train_ids = hits.select("k1", "k2", "record_id").distinct()
-    eval_ids = side.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), "eval_id").distinct()
-    return pairs.join(train_ids, ["k1", "k2"]).join(eval_ids, ["e1", "e2"]).select("eval_id", "record_id")
+    norm = normalised(F.col("sequence"))
+    e1, e2 = content_key(F.col("norm"))
+    named = evaluation_side(evaluation, released).where(F.col("sequence").isNotNull()).select("eval_id", norm.alias("norm"))
+    side = settle(named.select("eval_id", e1.alias("e1"), e2.alias("e2"), "norm"), "overlap-evaluation")
+    classes = side.groupBy("e1", "e2").agg(F.first("norm").alias("norm"))
+    grams = settle(evaluation_grams(classes), "overlap-grams")
+    count, total = grams.agg(F.count("*"), F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()
+    queries = settle(rarest_first(side, grams, (count, total)), "overlap-queries", partition_by="block")
+    held = {r["block"]: r["n"] for r in queries.groupBy("block").agg(F.sum(F.size("grams")).alias("n")).collect()}
+    train = train_side(released).where(F.col("sequence").isNotNull()).select("record_id", norm.alias("norm")).where(F.length("norm") >= GRAM)
+    context, label = side.sparkSession.sparkContext, queries.inputFiles()[:1]
+    found = []
+    for number, blocks in enumerate(passes(held)):
+        parts = []
+        for block in blocks:
+            rows = queries.where(F.col("block") == block).select("e1", "e2", F.size("grams").alias("n"), "grams").toArrow()
+            flat = rows.column("grams").combine_chunks()
+            flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+            parts.append(context.broadcast((rows.column("e1").to_numpy(), rows.column("e2").to_numpy(), rows.column("n").to_numpy(), flat.flatten().to_numpy())))
+        found.append(train_matches(train, parts, (*label, number)))
+    if not found:
+        return side.select("eval_id", F.col("eval_id").alias("record_id")).where(F.lit(False))
+    pairs = reduce(DataFrame.unionByName, found)
+    return pairs.join(side.select("eval_id", "e1", "e2").distinct(), ["e1", "e2"]).select("eval_id", "record_id")
 
 
 def overlaps(evaluation: DataFrame, released: DataFrame) -> DataFrame:
     """``evaluation_id, training_id``: every cross-split overlap, exact or almost, each pair once."""
-    pairs = digest_pairs(evaluation, released).unionByName(near_pairs(evaluation, released)).distinct()
+    pairs = hash_pairs(evaluation, released).unionByName(near_pairs(evaluation, released)).distinct()
     return pairs.select(F.col("eval_id").alias("evaluation_id"), F.col("record_id").alias("training_id"))
 
 

@@ -69,18 +69,14 @@ def test_empty(spark):
     assert overlap.overlaps(e, r).count() == 0 and overlap.overlap_report(e, r, hits).count() == 0
 
 
-def test_block_condition():
-    word = "".join(random.Random(1).choices("ACDEFGHIKLMNPQRSTVWY", k=200))
-    keys, spare = overlap.evaluation_keys(word)
-    assert len(keys) == 25 and all(k < overlap.GRAM_TAG for k in keys) and spare == 25 - (2 + 76 // 4) - 1
-    assert len(overlap.evaluation_keys(word[:40])[0]) == 33
-    keys, spare = overlap.evaluation_keys("A" * 90)
-    assert all(k >= overlap.GRAM_TAG for k in keys) and spare == 0 and overlap.evaluation_keys("ACD") == ([], 0)
-
-
-def test_hot_blocks_are_spared(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "HOT", 2)
-    monkeypatch.setattr(overlap.without_hot_keys, "__defaults__", (2,))
+def test_index_finds_every_match_of_a_record():
+    for grams in range(1, 60):
+        taken, often = overlap.indexed(grams)
+        missing = grams - overlap.needed(grams)
+        assert taken <= grams and (taken - missing) * often >= overlap.MATCHES
+
+
+def test_a_stretch_held_by_most_records(spark):
     rng = random.Random(8)
     word = lambda k: "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=k))
     common = word(24)
@@ -90,6 +86,56 @@ def test_hot_blocks_are_spared(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(evaluation, released) == [(k, 100 + k) for k in range(4)]
 
 
+@pytest.mark.parametrize("bounds", [(1 << 6, 1 << 8, 1 << 22), (1 << 9, 1 << 30, 1)])
+def test_several_passes_blocks_and_strips(spark, monkeypatch, bounds):
+    for name, value in zip(("BLOCK_GRAMS", "PASS_GRAMS", "MOST_HITS"), bounds):
+        monkeypatch.setattr(overlap, name, value)
+    monkeypatch.setattr(overlap.passes, "__defaults__", (bounds[1],))
+    evaluation, released = tables(4)
+    evaluation, released = evaluation[:14], released[:90]
+    got = overlap.overlaps(spark.createDataFrame(evaluation, EV), spark.createDataFrame(released, REL))
+    assert sorted(map(tuple, got.collect())) == brute(evaluation, released)
+
+
+def test_passes_respect_their_bound():
+    assert overlap.passes({0: 5, 1: 4, 2: 3, 3: 20, 4: 1}, 9) == [[0, 1], [2], [3], [4]] and overlap.passes({}, 9) == []
+
+
+def doubled(s):
+    """One residue of every eight repeated: each insertion breaks three grams, or none in a run."""
+    return "".join(c * 2 if i % 8 == 4 else c for i, c in enumerate(s))
+
+
+def pieces(s):
+    """Pieces of seven residues, one from every five, joined by a foreign one."""
+    return "X".join(s[i : i + 7] for i in range(0, len(s), 5))
+
+
+def single_grams(s):
+    """Every gram that is needed, alone, in another order: no six residues in a row are shared."""
+    held = [s[i : i + 5] for i in range(len(s) - 4)]
+    return "X".join(reversed(held[: overlap.needed(len(set(held)))]))
+
+
+@pytest.mark.parametrize("change", [doubled, pieces, single_grams])
+def test_changes_that_leave_no_long_stretch(spark, change):
+    rng = random.Random(12)
+    evaluation = [(k, "test", "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=n)), None) for k, n in enumerate([80, 87, 100, 102, 120, 160, 202, 240, 302, 602])]
+    released = [(100 + k, "a", "train", change(s), None) for k, _, s, _ in evaluation]
+    got = overlap.overlaps(spark.createDataFrame(evaluation, EV), spark.createDataFrame(released, REL))
+    wanted = brute(evaluation, released)
+    assert sorted(map(tuple, got.collect())) == wanted and len(wanted) >= 5
+
+
+def test_equal_canonical_records_without_equal_digests(spark):
+    word = "".join(random.Random(3).choices("ACDEFGHIKLMNPQRSTVWY", k=80))
+    evaluation = [(1, "test", word.lower() + "*", None), (2, "test", None, "AB"), (3, "test", "acd", None), (4, "test", "WWWWW", "ab")]
+    released = [(10, None, "train", word[:40] + "\n" + word[40:], "cd"), (11, "a", "train", "ACD", None), (12, "a", "train", None, "aB"), (13, "a", "train", "wwwww", "zz"), (14, "a", "validation", word, None)]
+    e, r = spark.createDataFrame(evaluation, EV), spark.createDataFrame(released, REL)
+    assert sorted(map(tuple, overlap.hash_pairs(e, r).distinct().collect())) == [(1, 10), (2, 12), (4, 12), (4, 13), (14, 10)]
+    assert sorted(map(tuple, overlap.overlaps(e, r).collect())) == [(1, 10), (2, 12), (4, 12), (4, 13), (14, 10)]
+
+
 def test_canonical_report_counts_equal_sequences_without_equal_digests(spark):
     word = "".join(random.Random(3).choices("ACDEFGHIKLMNPQRSTVWY", k=80))
     digest = hashlib.sha256(word.encode()).hexdigest()
