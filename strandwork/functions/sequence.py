@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The vocabulary in id order. They must equal the published tokenizer's.
 VOCABULARY = ["<cls>", "<pad>", "<eos>", "<unk>", "L", "A", "G", "V", "S", "E", "R", "T", "I", "D", "P", "K", "Q", "N", "F", "Y", "M", "H", "W", "C", "X", "B", "U", "Z", "O", ".", "-", "|", "<mask>"]
 CLS, PAD, EOS, UNK, MASK = 0, 1, 2, 3, 32
-CANONICAL = "ACDEFGHIKLMNPQRSTVWY"
+CANONICAL = "ACDEFGHIKLMNPQRSTVWY"  # fixed: the 20 amino acids
 RESIDUES = CANONICAL + "XBUZO"
 
 
@@ -18,7 +18,7 @@ def normalised(col: Column) -> Column:
     Null stays null; an empty or blank text becomes the empty string. One character
     (code point) outside the alphabet becomes exactly one X.
     """
-    text = F.rtrim(F.translate(F.upper(col), " \t\n\r", ""), F.lit("*"))
+    text = F.rtrim(F.regexp_replace(F.upper(col), "[ \t\n\r]", ""), F.lit("*"))
     outside = f"[^{RESIDUES}]"
     return F.when(text.rlike(outside), F.regexp_replace(text, outside, "X")).otherwise(text)
 
