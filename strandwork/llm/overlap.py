@@ -35,6 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,15 +108,13 @@ def record_hashes(rows: DataFrame, key: str, digest: str) -> DataFrame:
 
     Null digests, and null sequences or ones shorter than a gram, have none.
     """
-    norm = normalised(F.col("sequence"))
-
     def entry(kind: int, value: Column, known: Column) -> Column:
         h1, h2 = content_key(value)
         return F.when(known, F.struct(F.lit(kind).alias("kind"), h1.alias("h1"), h2.alias("h2")))
 
-    declared = F.lower(digest)
-    both = F.array(entry(0, declared, declared.isNotNull()), entry(1, norm, F.length(norm) >= GRAM))
-    return rows.select(key, F.inline(F.filter(both, lambda h: h.isNotNull())))
+    named = rows.select(key, F.lower(digest).alias("declared"), normalised(F.col("sequence")).alias("norm"))
+    kept = named.select(key, entry(0, F.col("declared"), F.col("declared").isNotNull()).alias("a"), entry(1, F.col("norm"), F.length("norm") >= GRAM).alias("b"))
+    return kept.select(key, F.inline(F.filter(F.array("a", "b"), lambda h: h.isNotNull())))
 
 
 def hash_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
@@ -252,6 +251,7 @@ def train_matches(train: DataFrame, blocks: list[Broadcast], name: tuple) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(blocks, name)
         for batch in batches:
+            batch = batch.filter(pc.greater_equal(pc.binary_length(batch.column(1)), GRAM))
             sequences = batch.column(1).to_pylist()
             begin = 0
             while begin < len(sequences):
@@ -284,7 +284,7 @@ def near_pairs(evaluation: DataFrame, released: DataFrame) -> DataFrame:
     count, total = grams.agg(F.count("*"), F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()
     queries = settle(rarest_first(side, grams, (count, total)), "overlap-queries", partition_by="block")
     held = {r["block"]: r["n"] for r in queries.groupBy("block").agg(F.sum(F.size("grams")).alias("n")).collect()}
-    train = train_side(released).where(F.col("sequence").isNotNull()).select("record_id", norm.alias("norm")).where(F.length("norm") >= GRAM)
+    train = train_side(released).where(F.col("sequence").isNotNull()).select("record_id", norm.alias("norm"))
     context, label = side.sparkSession.sparkContext, queries.inputFiles()[:1]
     found = []
     for number, blocks in enumerate(passes(held)):
