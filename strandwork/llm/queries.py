@@ -176,6 +176,16 @@ pairs AS (
 
 P3_FOUND = f"{P3_PAIRS} SELECT chain_a, chain_b FROM pairs"
 
+P3_GROUPS = f"""
+WITH RECURSIVE {P3_PAIRS.strip().removeprefix("WITH ")},
+links AS MATERIALIZED (SELECT chain_a AS x, chain_b AS y FROM pairs UNION ALL SELECT chain_b, chain_a FROM pairs),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS links FROM links GROUP BY x)
+SELECT c.chain_id, coalesce(least(root, c.chain_id), c.chain_id) AS group_id, coalesce(degree.links, 0)::BIGINT AS links
+FROM (SELECT DISTINCT chain_id FROM cached_contact_chain WHERE chain_id IS NOT NULL) c
+LEFT JOIN roots ON roots.x = c.chain_id LEFT JOIN degree ON degree.x = c.chain_id"""
+
 P4_PAIRS = f"""
 WITH evaluation AS (
   SELECT DISTINCT evaluation_id AS id, lower(evaluation_sha256) AS sha, {normalised_sql("sequence")} AS s FROM evaluation_sequences
@@ -261,6 +271,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_sample": p2_sql(),
         "p2_stability": P2_STABILITY,
         "p3_found": P3_FOUND,
+        "p3_groups": P3_GROUPS,
         "p4_found": P4_FOUND,
         "p4_report": P4_REPORT,
         "p4_report_canonical": P4_REPORT_CANONICAL,

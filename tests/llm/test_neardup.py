@@ -94,3 +94,33 @@ def test_hot_buckets_pair_classes_that_agree_in_one_band(spark, monkeypatch):
     rows.append((9, -9, [7] + [100 * 9 + b for b in range(20000, 20000 + neardup.BANDS - 1)], word[::-1]))
     got = neardup.candidate_pairs(spark.createDataFrame(rows, "k1 long, k2 long, bands array<long>, checks binary")).collect()
     assert sorted(map(tuple, got)) == [(a, -a, b, -b) for a in range(9) for b in range(a + 1, 9)]
+
+
+def test_large_groups_of_copies_are_cut_into_parts(spark):
+    from strandwork.llm.pairing import pairs_within
+
+    rows = [(g, g + 1, f"c{i:02}") for g, n in enumerate([1, 2, 9, 30]) for i in range(n)]
+    for part in (1, 4, 1000):
+        got = pairs_within(spark.createDataFrame(rows, "g int, h int, c string"), ["g", "h"], ["c"], part).collect()
+        wanted = sorted((a, b) for g in range(4) for x, _, a in rows if x == g for y, _, b in rows if y == g and a < b)
+        assert sorted(map(tuple, got)) == wanted
+
+
+def test_repeated_keys_are_counted_over_all_batches(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARD_KEYS", 8)
+    rows = [(k, k, [b + 1000 * (k if k % 3 else 0) for b in range(neardup.BANDS)], b"") for k in range(30)]
+    signed = spark.createDataFrame(rows, "k1 long, k2 long, bands array<long>, checks binary").repartition(7)
+    repeated = neardup.repeated_keys(signed)
+    assert sorted(map(tuple, repeated.collect())) == [(b, 10) for b in range(neardup.BANDS)]
+    held = neardup.held_bands(signed, repeated)
+    assert held.where("k1 % 3 = 0").count() == 10 * neardup.BANDS and held.where("k1 % 3 > 0").count() < 10
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert (1 - neardup.THRESHOLD**neardup.ROWS) ** neardup.BANDS < 1e-5 and neardup.CHECKS <= neardup.BANDS * neardup.ROWS
+    rng = random.Random(2)
+    words = ["".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=4000)) for _ in range(2)]
+    other = [words[0][:2000] + words[1][:2000], words[0]]
+    x, y = (neardup.min_hashes([s]) for s in other)
+    agree = float((x == y).mean())
+    assert abs(agree - 1 / 3) < 0.06
