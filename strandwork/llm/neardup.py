@@ -87,10 +87,11 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     """One key per band (rows) and sequence (columns)."""
     keys = np.empty((BANDS, values.shape[1]), dtype=np.int64)
     for b in range(BANDS):
-        key = np.full(values.shape[1], b, dtype=np.uint64)
+        key = np.full(values.shape[1], b + 1, dtype=np.uint64)
         for r in range(ROWS):
-            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ values[b * ROWS + r])
-        keys[b] = key.view(np.int64)
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key += values[b * ROWS + r]
+        keys[b] = _mixed(key).view(np.int64)
     return keys
 
 
@@ -149,23 +150,27 @@ def repeated_keys(signed: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-            place = _mixed(keys.view(np.uint64)) % np.uint64(shards)
-            order = np.argsort(place, kind="stable")
-            named, begin = np.unique(place[order], return_index=True)
-            ends = [*begin[1:].tolist(), len(keys)]
-            held = [(keys[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for a, b in zip(begin.tolist(), ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(named.astype(np.int32)), *(pa.array(list(x), pa.binary()) for x in zip(*held))] if held else [pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["shard", "keys", "counts"])
+            keys, counts = np.unique(batch.column(0).flatten().to_numpy().view(np.uint64), return_counts=True)
+            # keys are hashes: equal ranges of them hold about as many each
+            place = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+            named, begin = np.unique(place, return_index=True)
+            rows = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]):
+                often = np.flatnonzero(counts[a:b] > 1) + a
+                rows.append((keys[a:b].tobytes(), keys[often].tobytes(), counts[often].tobytes()))
+            columns = [pa.array(list(c), pa.binary()) for c in zip(*rows)] or [pa.array([], pa.binary())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(named), *columns], names=["shard", "keys", "often", "counts"])
 
     def merge(rows: pa.Table) -> pa.Table:
-        keys, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=np.int64) for c in ("keys", "counts"))
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+        keys, often, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=t) for c, t in (("keys", np.uint64), ("often", np.uint64), ("counts", np.int64)))
+        keys = np.sort(keys)
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        n = np.add.reduceat(counts, begin)
-        return pa.table({"band": keys[begin][n > 1], "n": n[n > 1]})
+        n = np.diff(np.append(begin, len(keys)))
+        keys = keys[begin]
+        np.add.at(n, np.searchsorted(keys, often), counts - 1)
+        return pa.table({"band": keys[n > 1].view(np.int64), "n": n[n > 1]})
 
-    blocks = signed.select("bands").mapInArrow(cut, "shard int, keys binary, counts binary")
+    blocks = signed.select("bands").mapInArrow(cut, "shard int, keys binary, often binary, counts binary")
     return fan_out(blocks, "shard").groupBy("shard").applyInArrow(merge, "band long, n long")
 
 
@@ -194,11 +199,14 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     repeated = settle(repeated_keys(signed), "dup-repeated-bands")
     members = settle(held_bands(signed, repeated), "dup-members-of-bands")
     hot = settle(repeated.where(F.col("n") > CHUNK), "dup-hot-bands")
-    usual = members.join(hot, "band", "left_anti")
+    some = not hot.isEmpty()
+    usual = members.join(hot, "band", "left_anti") if some else members
     a = usual.select("band", F.col("k1").alias("a1"), F.col("k2").alias("a2"))
     b = usual.select("band", F.col("k1").alias("b1"), F.col("k2").alias("b2"))
     pairs = a.join(b, "band").where("a1 < b1 OR (a1 = b1 AND a2 < b2)").select("a1", "a2", "b1", "b2")
-    return pairs.unionByName(hot_pairs(members.join(hot, "band").join(signed.select("k1", "k2", "bands", "checks"), ["k1", "k2"]))).distinct()
+    if some:
+        pairs = pairs.unionByName(hot_pairs(members.join(hot, "band").join(signed.select("k1", "k2", "bands", "checks"), ["k1", "k2"])))
+    return pairs.distinct()
 
 
 def hot_pairs(members: DataFrame) -> DataFrame:
@@ -268,6 +276,7 @@ def _alive(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np.nda
 
 def class_pairs(classes: DataFrame) -> DataFrame:
     """``a1, a2, b1, b2``: similar pairs of different classes. ``classes``: ``k1, k2, norm``."""
+    classes = settle(classes, "dup-classes")
     signed = settle(signatures(classes), "dup-signatures")
     steps = least_matches()
 
