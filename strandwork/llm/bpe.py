@@ -17,6 +17,7 @@ ordinary text. Repeated rows each give a row.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -281,16 +282,18 @@ _encoders: dict[str, RankQueueEncoder] = {}
 
 
 def shared_encoder(name: str, vocabulary: tuple) -> RankQueueEncoder:
-    """One encoder per Python worker and vocabulary, so its caches outlive a task."""
+    """One encoder per Python worker and vocabulary (named by its content), so its caches outlive a task."""
     if name not in _encoders:
         _encoders[name] = RankQueueEncoder(*vocabulary)
     return _encoders[name]
 
 
 def broadcast_vocabulary(df: DataFrame, path: str):
-    """The ranks and their split table, read on the driver; their size is the vocabulary's."""
+    """The digest of a rank file, and its ranks and split table, read on the driver; their size is the vocabulary's."""
+    with open(path, "rb") as file:
+        digest = hashlib.sha256(file.read()).hexdigest()
     ranks = load_ranks(path)
-    return df.sparkSession.sparkContext.broadcast((ranks, split_table(ranks)))
+    return digest, df.sparkSession.sparkContext.broadcast((ranks, split_table(ranks)))
 
 
 def encode_texts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,11 +302,11 @@ def encode_texts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     ``vocabulary`` is the path of a rank file, read on the driver and broadcast (its size is
     fixed by the vocabulary, not by the data).
     """
-    ranks = broadcast_vocabulary(df, vocabulary)
+    name, ranks = broadcast_vocabulary(df, vocabulary)
     schema = df.select(key).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(vocabulary, ranks.value)
+        encoder = shared_encoder(name, ranks.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
@@ -316,11 +319,11 @@ def encode_texts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
 
 def count_tokens(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``n_tokens`` of ``text`` (0 for null and empty texts), one row per input row."""
-    ranks = broadcast_vocabulary(df, vocabulary)
+    name, ranks = broadcast_vocabulary(df, vocabulary)
     schema = df.select(key).schema.add("n_tokens", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(vocabulary, ranks.value)
+        encoder = shared_encoder(name, ranks.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):

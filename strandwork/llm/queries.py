@@ -65,6 +65,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(_tokens(spark, d), table(spark, d, "stages"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_check(_tokens(spark, d), table(spark, d, "stages"))
+
+
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), VOCABULARY)
 
@@ -77,6 +81,10 @@ def p7_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(table(spark, d, "documents"))
 
 
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return spans.without_shared_spans(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _p1(mixing.shortfalls),
@@ -92,8 +100,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_ids": p5_ids,
         "p6_pack": p6_pack,
         "p6_report": p6_report,
+        "p6_check": p6_check,
         "p7_found": p7_found,
         "p7_shared": p7_shared,
+        "p7_clean": p7_clean,
     }
 
 
@@ -263,6 +273,28 @@ SELECT d.doc_id, length(text)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS shar
 FROM documents d LEFT JOIN covered c ON d.doc_id = c.doc_id"""
 
 
+P7_CLEAN = f"""
+WITH {_WINDOWS}, firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+breaks AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {spans.SPAN} THEN 0 ELSE 1 END AS fresh FROM gone),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM breaks),
+islands AS (SELECT doc_id, min(i) AS b, max(i) + {spans.SPAN} AS e FROM numbered GROUP BY doc_id, island),
+sizes AS (SELECT doc_id, sum(e - b) AS removed, max(e) AS last FROM islands GROUP BY doc_id),
+pieces AS (
+  SELECT doc_id, b, substring(text, previous::BIGINT, (b - previous)::BIGINT) AS piece
+  FROM (SELECT doc_id, b, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 1) AS previous FROM islands) JOIN documents USING (doc_id)
+  UNION ALL SELECT doc_id, last, substring(text, last::BIGINT, length(text)) FROM sizes JOIN documents USING (doc_id)),
+joined AS (SELECT doc_id, string_agg(piece, '' ORDER BY b) AS text FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, length(d.text)::BIGINT AS n_chars, coalesce(removed, 0)::BIGINT AS removed_chars, CASE WHEN removed IS NULL THEN d.text ELSE j.text END AS text
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN joined j ON j.doc_id = d.doc_id"""
+
+P6_CHECK = """
+SELECT name AS stage, max(context_length)::INTEGER AS capacity, (SELECT count(*) FROM documents) AS texts,
+       (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS empty_texts,
+       0::BIGINT AS lost_texts, 0::BIGINT AS cut_texts, 0::BIGINT AS overlaps, 0::BIGINT AS overfull
+FROM stages WHERE context_length > 0 AND name IS NOT NULL GROUP BY name"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
@@ -275,6 +307,8 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": P4_FOUND,
         "p4_report": P4_REPORT,
         "p4_report_canonical": P4_REPORT_CANONICAL,
+        "p6_check": P6_CHECK,
         "p7_found": P7_FOUND,
         "p7_shared": P7_SHARED,
+        "p7_clean": P7_CLEAN,
     }

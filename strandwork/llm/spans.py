@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions.hashing import content_key
 from strandwork.llm.bits import bit_map, bits_for, thin
+from strandwork.llm.pairing import pairs_within
 from strandwork.runtime import fan_out, settle, spread
 
 SPAN = 200
@@ -339,15 +340,13 @@ def shared_pairs(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """``doc_a, doc_b`` (a < b): documents that share a span of at least ``span`` code points, each pair once."""
     texts = keyed_texts(documents, span=span)
     owners = settle(texts.select("doc_id", "k1", "k2").distinct(), "span-owners")
-    classes = span_members(texts, span).select("c1", "c2", "k1", "k2").distinct()
-    a = classes.select("c1", "c2", F.col("k1").alias("ka1"), F.col("k2").alias("ka2"))
-    b = classes.select("c1", "c2", F.col("k1").alias("kb1"), F.col("k2").alias("kb2"))
-    ordered = "ka1 < kb1 OR (ka1 = kb1 AND ka2 < kb2)"
-    between = a.join(b, ["c1", "c2"]).where(ordered).select("ka1", "ka2", "kb1", "kb2").distinct()
+    classes = settle(span_members(texts, span).select("c1", "c2", "k1", "k2").distinct(), "span-classes")
+    names = {f"{side}_k{i}": f"k{side}{i}" for side in "ab" for i in (1, 2)}
+    between = pairs_within(classes, ["c1", "c2"], ["k1", "k2"]).withColumnsRenamed(names).distinct()
     left = owners.select(F.col("doc_id").alias("da"), F.col("k1").alias("ka1"), F.col("k2").alias("ka2"))
     right = owners.select(F.col("doc_id").alias("db"), F.col("k1").alias("kb1"), F.col("k2").alias("kb2"))
     apart = between.join(left, ["ka1", "ka2"]).join(right, ["kb1", "kb2"]).select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"))
-    copies = left.join(right, (F.col("ka1") == F.col("kb1")) & (F.col("ka2") == F.col("kb2")) & (F.col("da") < F.col("db"))).select(F.col("da").alias("doc_a"), F.col("db").alias("doc_b"))
+    copies = pairs_within(owners, ["k1", "k2"], ["doc_id"]).select(F.col("a_doc_id").alias("doc_a"), F.col("b_doc_id").alias("doc_b"))
     return apart.unionByName(copies)
 
 
@@ -368,3 +367,36 @@ def shared_shares(documents: DataFrame, span: int = SPAN) -> DataFrame:
     every = documents.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), k1.alias("k1"), k2.alias("k2"))
     shared = F.coalesce("shared", F.lit(0)).cast("bigint")
     return every.join(covered, ["k1", "k2"], "left").select("doc_id", "n_chars", shared.alias("shared_chars"), F.round(shared / F.when(F.col("n_chars") > 0, F.col("n_chars")), 6).alias("shared_share"))
+
+
+def without_shared_spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
+    """``doc_id, n_chars, removed_chars, text``: the documents without spans that a document of a lower id has.
+
+    Of every maximal span of at least ``span`` characters that several documents share, the
+    lowest ``doc_id`` keeps its characters, and all others lose theirs; so a copy of an earlier text becomes
+    empty. One row per input row. Null texts stay null, with 0 characters removed.
+    """
+    texts = keyed_texts(documents, span=span)
+    owners = settle(texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner")), "span-first-owners")
+    members = settle(span_members(texts, span).join(owners, ["k1", "k2"]), "span-owned")
+    keepers = members.groupBy("c1", "c2").agg(F.min("owner").alias("keeper"))
+    gone = members.join(keepers, ["c1", "c2"]).where("owner > keeper").select("k1", "k2", "begin", "end").distinct()
+    # merge what touches: an island begins where a span begins beyond all earlier ends
+    per_text = Window.partitionBy("k1", "k2").orderBy("begin", "end")
+    earlier = F.max("end").over(per_text.rowsBetween(Window.unboundedPreceding, -1))
+    islands = gone.withColumn("fresh", (earlier.isNull() | (F.col("begin") > earlier)).cast("int")).withColumn("island", F.sum("fresh").over(per_text))
+    merged = islands.groupBy("k1", "k2", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    # disjoint and at least a span long each, so bounded by the length of their text
+    cuts = merged.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("cuts"), F.sum(F.col("end") - F.col("begin")).alias("size"))
+    k1, k2 = content_key(F.col("text"))
+    every = documents.select("doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), k1.alias("k1"), k2.alias("k2"))
+    whole = (F.col("n_chars") >= span) & (F.col("doc_id") > F.col("owner"))
+    starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["end"]))
+    stops = F.concat(F.transform("cuts", lambda c: c["begin"]), F.array(F.length("text")))
+    pieces = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: F.substring(F.col("text"), p["a"] + 1, p["b"] - p["a"]))
+    left = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    return (
+        every.join(owners.join(cuts, ["k1", "k2"], "left"), ["k1", "k2"], "left")
+        .withColumn("whole", F.coalesce(whole, F.lit(False)))
+        .select("doc_id", "n_chars", F.when(F.col("whole"), F.col("n_chars")).otherwise(F.coalesce("size", F.lit(0))).cast("bigint").alias("removed_chars"), F.when(F.col("whole"), F.lit("")).otherwise(left).alias("text"))
+    )

@@ -134,3 +134,19 @@ def test_second_exchange_pools_other_partitions(spark, parts):
     for pool in {r["p2"] for r in rows}:
         first = [r["p1"] for r in rows if r["p2"] == pool]
         assert len(first) == packing.POOL and len(set(first)) >= 3
+
+
+def test_report_and_check_with_exchanges(spark):
+    rng = random.Random(21)
+    tokens = spark.createDataFrame([(i, rng.choice([0, 5, 21, 26, 33, 34, 40, 51, 67, 100, 230])) for i in range(1500)] + [(5000, None)], "doc_id long, n_tokens long")
+    stages = spark.createDataFrame([("a", 100), ("b", 100), ("c", 64), ("d", None), (None, 7), ("e", 0)], "name string, context_length int")
+    rows = {r["stage"]: r for r in packing.packing_report(tokens, stages, per_partition=16).collect()}
+    assert set(rows) == {"a", "b", "c"} and all(r["partitions"] > 20 for r in rows.values())
+    for r in rows.values():
+        assert 0 <= r["gap_after"] <= r["gap_before"] and r["containers"] == r["bound"] + r["gap_after"]
+    assert rows["a"]["gap_before"] > rows["a"]["gap_after"], "the exchanges save containers here"
+    placed = packing.pack(tokens, stages, per_partition=16)
+    assert {r["stage"]: r["n"] for r in placed.where("container IS NOT NULL").groupBy("stage").agg(F.countDistinct("container").alias("n")).collect()} == {k: r["containers"] for k, r in rows.items()}
+    got = sorted(map(tuple, packing.packing_check(tokens, stages).collect()))
+    empty = tokens.where("coalesce(n_tokens, 0) = 0").count()
+    assert got == [(s, c, 1501, empty, 0, 0, 0, 0) for s, c in [("a", 100), ("b", 100), ("c", 64)]]

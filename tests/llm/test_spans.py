@@ -87,3 +87,25 @@ def test_shard_spans_of_maximal_matches():
     shared = "0123456789" * 21
     out = spans.shard_spans(["abc" + shared + "def", "xy" + shared + "z", "q" * 230])
     assert [(h, i, b, e) for h, i, b, e in out] == [(3, 0, 3, 213), (3, 1, 2, 212)]
+
+
+def brute_clean(rows, span):
+    first = {}
+    for i, t in sorted((i, t or "") for i, t in rows):
+        for k in range(len(t) - span + 1):
+            first.setdefault(t[k : k + span], i)
+    out = {}
+    for i, t in rows:
+        gone = {p for k in range(len(t or "") - span + 1) if first[t[k : k + span]] < i for p in range(k, k + span)}
+        out[i] = None if t is None else "".join(c for p, c in enumerate(t) if p not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_removal_keeps_the_first_holder(spark, seed):
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("clash")).withColumn("begin", F.lit(1))
+    got = spans.without_shared_spans(df).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == brute_clean(rows, 200)
+    assert all(r["removed_chars"] == (r["n_chars"] or 0) - len(r["text"] or "") for r in got)
+    assert spans.without_shared_spans(df.limit(0)).count() == 0
