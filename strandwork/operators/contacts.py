@@ -44,15 +44,14 @@ def eligibility(points: DataFrame, pairs: DataFrame) -> DataFrame:
 def precision_at_length(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """Share of contacts among the best L pairs of each chain (ties: row-major order), and among all pairs.
 
-    A constant bound on the rank (the longest chain) precedes the per-chain one, so that the
-    group limit applies before the shuffle's sort is read through.
+    The pairs are ranked once; both shares come from one aggregate over them.
     """
     size = points.groupBy("chain").agg(F.count("*").alias("chain_length"))
     order = Window.partitionBy("chain").orderBy(F.desc("score"), "i", "j")
-    best = pairs.withColumn("rn", F.row_number().over(order)).join(size, "chain").where(F.col("rn") <= F.col("chain_length"))
-    top = best.groupBy("chain").agg(F.round(F.avg(F.col("contact").cast("int")), 6).alias("precision_at_l"))
-    base = pairs.groupBy("chain").agg(F.round(F.avg(F.col("contact").cast("int")), 6).alias("random_precision"))
-    return top.join(base, "chain")
+    hit = F.col("contact").cast("int")
+    best = F.when(F.col("rn") <= F.col("chain_length"), hit)
+    placed = pairs.withColumn("rn", F.row_number().over(order)).join(size, "chain")
+    return placed.groupBy("chain").agg(F.round(F.avg(best), 6).alias("precision_at_l"), F.round(F.avg(hit), 6).alias("random_precision"))
 
 
 def balanced_pairs(pairs: DataFrame, per_class: int, seed: int) -> DataFrame:
@@ -123,7 +122,7 @@ def fit_probe(embeddings: DataFrame, grid: tuple[float, ...] = (0.01, 0.1, 1.0,
         scored = model.transform(held).select(F.lit(c).alias("grp"), F.round(vector_to_array("probability")[1], 6).alias("score"), (F.col("label") == 1).alias("target"))
         row = average_precision(scored)
         out = row if out is None else out.unionByName(row)
-    order = Window.orderBy(F.desc("average_precision"), "grp")
+    order = Window.orderBy(F.desc("average_precision"), "grp")  # one row per strength of the grid
     return out.withColumn("place", F.row_number().over(order)).select(F.col("grp").alias("c"), "average_precision", "place")
 
 
@@ -144,7 +143,6 @@ def cache_checks(chains: DataFrame) -> DataFrame:
     )
 
 
-
 def contact_flag(distance: Column, threshold: float) -> Column:
     """Resolved (neither null nor NaN) and nearer than the threshold."""
     return F.coalesce(~F.isnan(distance) & (distance < threshold), F.lit(False))

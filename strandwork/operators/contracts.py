@@ -106,37 +106,34 @@ FREE_KEYS = ("max_steps", "max_model_tokens", "schedule_steps", "walltime_second
 def resume_problems(saved: Mapping[str, Any], wanted: Mapping[str, Any], old_world: int, world: int, step: int, tokens: int) -> list[str]:
     """Why a run can't be continued under another configuration; empty if it can.
 
-    Budgets, intervals and the rank layout may change; the recipe, the stages and the global
-    batch may not, and an end point must lie ahead.
+    Both configurations are flattened into facts that must agree: each setting that isn't free, each
+    setting of a stage but its batch layout, and the global batches. Budgets, intervals and the rank
+    layout may change. An end point must be named and lie ahead.
     """
-    out = []
-    before, after = saved.get("stages", []), wanted.get("stages", [])
-    if len(before) != len(after):
-        out.append("stages")
-    for i, (a, b) in enumerate(zip(before, after)):
-        micro = lambda s, w: s.get("micro_batch_size", 0) * w
-        whole = lambda s, w: micro(s, w) * s.get("gradient_accumulation", 0)
-        if whole(a, old_world) != whole(b, world):
-            out.append(f"stages.{i}.global_batch")
-        if wanted.get("data_sampler") == "global" and micro(a, old_world) != micro(b, world):
-            out.append(f"stages.{i}.micro_batch")
-        layout = ("micro_batch_size", "gradient_accumulation")
-        out += [f"stages.{i}.{k}" for k in sorted({*a, *b} - set(layout)) if a.get(k) != b.get(k)]
-    defaults = {"data_resampling": "allow"}
-    a, b = defaults | dict(saved), {"data_resampling": saved.get("data_resampling", "allow")} | dict(wanted)
-    out += [k for k in sorted({*a, *b} - {*FREE_KEYS, "stages"}) if a.get(k) != b.get(k)]
-    steps, budget = wanted.get("max_steps"), wanted.get("max_model_tokens")
-    if steps is None and budget is None:
-        out.append("endpoint")
-    if steps is not None and steps <= step:
-        out.append("max_steps")
-    if budget is not None and budget <= tokens:
-        out.append("max_model_tokens")
-    schedule = lambda c: c.get("schedule_steps", c.get("max_steps"))
-    constant = len(after) == 1 and after[0].get("name") == "stage1" and not wanted.get("stage1_cooldown_fraction")
-    if schedule(saved) != schedule(wanted) and not constant:
-        out.append("schedule")
-    return out
+    before, after = _facts(saved, saved, old_world), _facts(wanted, saved, world)
+    if wanted.get("data_sampler") != "global":
+        before, after = ({k: v for k, v in f.items() if not k.endswith(".micro_batch")} for f in (before, after))
+    steady = [s.get("name") for s in wanted.get("stages", [])] == ["stage1"] and not wanted.get("stage1_cooldown_fraction")
+    if steady:
+        before.pop("schedule"), after.pop("schedule")
+    ends = {"max_steps": step, "max_model_tokens": tokens}
+    named = {k: wanted[k] for k in ends if wanted.get(k) is not None}
+    changed = sorted((k for k in {*before, *after} if before.get(k) != after.get(k)), key=lambda k: (k == "schedule", k))
+    return changed + ([] if named else ["endpoint"]) + [k for k, v in named.items() if v <= ends[k]]
+
+
+def _facts(config: Mapping[str, Any], base: Mapping[str, Any], world: int) -> dict[str, Any]:
+    """What a continuation may not change, by name. ``base`` supplies the resampling policy where ``config`` names none."""
+    facts = {k: v for k, v in config.items() if k not in FREE_KEYS and k != "stages"}
+    facts.setdefault("data_resampling", base.get("data_resampling", "allow"))
+    facts["schedule"] = config.get("schedule_steps", config.get("max_steps"))
+    stages = config.get("stages", [])
+    facts["stages"] = len(stages)
+    for i, stage in enumerate(stages):
+        rows, passes = stage.get("micro_batch_size", 0) * world, stage.get("gradient_accumulation", 0)
+        facts |= {f"stages.{i}.micro_batch": rows, f"stages.{i}.global_batch": rows * passes}
+        facts |= {f"stages.{i}.{k}": v for k, v in stage.items() if k not in ("micro_batch_size", "gradient_accumulation")}
+    return facts
 
 
 def budget_problems(config: Mapping[str, Any]) -> list[str]:

@@ -84,23 +84,27 @@ def funnel(released: DataFrame, evaluation: DataFrame, hits: DataFrame) -> DataF
 
     Order: quality rules, duplicate of an owner, protected digest, homology hit, validation
     digest; otherwise ``kept``. Marks arrive by joins on the digest: the protected set and the
-    hits are small beside the corpus, and AQE picks broadcast or shuffle by their size.
+    hits are small beside the corpus, and AQE picks broadcast or shuffle by their size. Rejected records
+    (all those without a sequence) need no marks and take no part in the joins; records without a declared
+    digest get a key of their own, so that they don't meet in one task.
     """
     rows = settle(records(released, "train").select("record_id", "source", "norm_length", "rejected", "digest", "sha"), "funnel")
     held = owners(rows).select("digest", "owner_id")
     guarded = protected_digests(evaluation).withColumn("guarded", F.lit(True))
     similar = clean_hits(hits).select(F.col("training_digest").alias("sha")).distinct().withColumn("similar", F.lit(True))
     validation = records(released, "validation").where("digest IS NOT NULL").select("digest").distinct().withColumn("validation", F.lit(True))
-    marked = rows.join(held, "digest", "left").join(guarded, "digest", "left").join(validation, "digest", "left").join(similar, "sha", "left")
+    own = F.coalesce("sha", F.concat(F.lit("none:"), F.col("record_id").cast("string")))
+    eligible = rows.where("rejected IS NULL").withColumn("sha", own)
+    marked = eligible.join(held, "digest", "left").join(guarded, "digest", "left").join(validation, "digest", "left").join(similar.where("sha IS NOT NULL"), "sha", "left")
     reason = (
-        F.when(F.col("rejected").isNotNull(), F.col("rejected"))
-        .when(F.col("owner_id") != F.col("record_id"), "duplicate")
+        F.when(F.col("owner_id") != F.col("record_id"), "duplicate")
         .when(F.col("guarded"), "protected_exact")
         .when(F.col("similar"), "protected_homology")
         .when(F.col("validation"), "validation")
         .otherwise("kept")
     )
-    return marked.select("record_id", "source", "norm_length", reason.alias("reason"))
+    judged = marked.select("record_id", "source", "norm_length", reason.alias("reason"))
+    return judged.unionByName(rows.where("rejected IS NOT NULL").select("record_id", "source", "norm_length", F.col("rejected").alias("reason")))
 
 
 def funnel_ledger(released: DataFrame, evaluation: DataFrame, hits: DataFrame) -> DataFrame:

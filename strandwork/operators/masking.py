@@ -22,7 +22,7 @@ def cropped(rows: DataFrame, limit: int = LIMIT, seed: int = 20260821) -> DataFr
 def eligible_positions(crop: Column) -> Column:
     """1-based positions of canonical residues."""
     every = F.when(F.length(crop) > 0, F.sequence(F.lit(1), F.length(crop))).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda p: F.substring(crop, p, F.lit(1)).rlike(f"[{CANONICAL}]"))
+    return F.filter(every, lambda p: F.instr(F.lit(CANONICAL), F.substring(crop, p, F.lit(1))) > 0)
 
 
 def masked_positions(positions: Column, digest: Column, seed: int, rate: float = RATE) -> Column:

@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 from strandwork.runtime import settle
 
 
+RANGE_BYTES = 256 << 20
+
+
+def range_tasks(df: DataFrame) -> int:
+    """How many ranges to sort in: one per ``RANGE_BYTES`` that the plan reads, at least the session's shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(s for s in sizes if s < 1 << 60)  # relations of unknown size claim about 2^63
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // RANGE_BYTES), 1 << 17))
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], value: str | list[str] | None = None) -> DataFrame:
     """``df`` plus ``rn`` (1-based rank in the group) and running sums of ``value`` ahead of each row.
 
@@ -22,7 +33,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], value: str | list[
     """
     names = [value] if isinstance(value, str) else value or []
     added = {v: "before" if isinstance(value, str) else f"before_{v}" for v in names}
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = range_tasks(df)
     ranges = settle(df.repartitionByRange(tasks, *group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     amounts = {v: F.coalesce(F.col(v).cast("bigint"), F.lit(0)) for v in names}
     totals = ranges.groupBy(*group, "_range").agg(F.count("*").alias("_rows"), *[F.sum(a).alias(f"_sum_{v}") for v, a in amounts.items()])

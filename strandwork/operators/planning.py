@@ -103,15 +103,14 @@ def plan_by_samples(shards: DataFrame, weights: Mapping[str, float], samples: in
 def plan_by_shards(shards: DataFrame, weights: Mapping[str, float], count: int) -> DataFrame:
     """``count`` shards, each next one from the source with the least records per weight so far.
 
-    The greedy choice equals the first ``count`` shards by (records before / weight, source order);
-    the window runs over the shard table.
+    The greedy choice equals the first ``count`` shards by (records before / weight, source order).
     """
     order = Window.partitionBy("source").orderBy("shard")
     place = {s: i for i, s in enumerate(weights)}
     rank = F.element_at(F.create_map(*[F.lit(x) for k, v in place.items() for x in (k, v)]), F.col("source"))
     rows = shards.where(F.col("source").isin(list(place))).withColumn("covered", (F.sum("records").over(order) - F.col("records")) / weight_column(weights))
-    chosen = rows.withColumn("pick", F.row_number().over(Window.orderBy(F.round("covered", 6), rank, "shard")))
-    return chosen.where(F.col("pick") <= count).select("pick", "source", "shard", "records")
+    first = rows.select("source", "shard", "records", F.round("covered", 6).alias("covered"), rank.alias("place")).orderBy("covered", "place", "shard").limit(count)
+    return first.withColumn("pick", F.row_number().over(Window.orderBy("covered", "place", "shard"))).select("pick", "source", "shard", "records")
 
 
 def storage(rows: DataFrame) -> DataFrame:

@@ -22,14 +22,13 @@ def balanced_groups(lengths: list[int], world: int) -> list[list[int]]:
         rank = min((r for r in range(world) if len(groups[r]) < room), key=lambda r: (load[r], len(groups[r]), r))
         groups[rank].append(i)
         load[rank] += lengths[i]
-    blocks = [list(range(r * room, (r + 1) * room)) for r in range(world)]
-    if max(load) > max(sum(lengths[i] for i in b) for b in blocks):
-        return blocks
-    return groups
+    start = [r * room for r in range(world)]
+    untouched = max((sum(lengths[s : s + room]) for s in start), default=0)
+    return groups if max(load) <= untouched else [list(range(s, s + room)) for s in start]
 
 
 def balance_batches(batches: DataFrame, world: int) -> DataFrame:
-    """``batch, item, length, rank``: each batch (a bounded group) dealt to ranks; ``batches``: ``batch, item, length``.
+    """``source, batch, item, length, rank``: each batch of a source (a bounded group) dealt to ranks; ``batches``: ``source, batch, item, length``.
 
     Batches whose size ``world`` doesn't divide keep their overhang on the last rank.
     """
@@ -44,7 +43,7 @@ def balance_batches(batches: DataFrame, world: int) -> DataFrame:
                     rank[i] = r
         return pdf.assign(rank=rank)
 
-    return batches.groupBy("batch").applyInPandas(deal, "batch long, item long, length long, rank int")
+    return batches.groupBy("source", "batch").applyInPandas(deal, "source string, batch long, item long, length long, rank int")
 
 
 def length_batches(rows: DataFrame, key: str, size: int, workers: int) -> DataFrame:

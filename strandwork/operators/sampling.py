@@ -93,16 +93,21 @@ def expansion_queue(rows: DataFrame, cut: str, seed: int, new_seed: int, world:
 
 
 def fragments_for_budget(fragments: DataFrame, seed: int, budget: int, chunk: int = 100) -> DataFrame:
-    """Fragments in a seeded order until their rows reach the budget, in chunks (windows over fragments)."""
-    order = Window.orderBy("key", "path")
-    rows = fragments.withColumn("key", hex_rank(seed, F.col("path"))).withColumn("rn", F.row_number().over(order)).withColumn("before", F.sum("records").over(order) - F.col("records"))
+    """Fragments in a seeded order until their rows reach the budget, in chunks."""
+    rows = ranked(fragments.withColumn("key", hex_rank(seed, F.col("path"))), [], ["key", "path"], "records")
     return rows.where(F.col("before") < budget).select("path", "records", "rn", "before", F.floor((F.col("rn") - 1) / chunk).alias("chunk"))
 
 
 def hashed_subset(ids: DataFrame, key: str, seed: int, limit: int, shards: int) -> DataFrame:
-    """The first ``limit`` ids by seeded hash, dealt round-robin to ``shards`` workers."""
+    """The first ``limit`` ids by seeded hash, dealt round-robin to ``shards`` workers.
+
+    Every task keeps its own first ``limit`` ids, so that nothing but those is moved; the window
+    runs over the ``limit`` chosen rows only.
+    """
     keyed = ids.where(F.col(key).isNotNull()).select(key).distinct().withColumn("hash", hex_rank(seed, F.col(key)))
-    return ranked(keyed, [], ["hash", key]).where(F.col("rn") <= limit).select(key, "rn", F.pmod(F.col("rn") - 1, F.lit(shards)).alias("shard"))
+    chosen = keyed.orderBy("hash", key).limit(limit)
+    placed = chosen.withColumn("rn", F.row_number().over(Window.orderBy("hash", key)).cast("bigint"))
+    return placed.select(key, "rn", F.pmod(F.col("rn") - 1, F.lit(shards)).alias("shard"))
 
 
 def crop_offset(digest: Column, size: Column, limit: int, seed: int) -> Column:

@@ -166,13 +166,13 @@ def token_histogram(spark, d):
 
 @query(
     "encode_pad_batch",
-    f"""WITH {RECORDS}, x AS (SELECT record_id, {_IDS} AS ids FROM r WHERE norm IS NOT NULL AND split = 'validation'),
+    f"""WITH {RECORDS}, x AS (SELECT record_id, {_IDS} AS ids FROM r WHERE norm IS NOT NULL),
     y AS (SELECT record_id, list_concat(list_concat([0], ids[4:129]), [2]) AS body FROM x)
     SELECT record_id, 128 AS width, 128 - len(body) AS padding, list_sum(list_transform(body, lambda t, i: t * i))::BIGINT + coalesce(list_sum(range(len(body) + 1, 129)), 0)::BIGINT AS checksum FROM y""",
 )
 def encode_pad_batch(spark, d):
     """Framed to 128 ids, cropped from offset 3; a pad id is 1, so padding adds its positions."""
-    rows = corpus.records(_released(spark, d), "validation").where("norm IS NOT NULL").select("record_id", framed(token_ids(F.col("norm")), 128, 3).alias("ids"))
+    rows = corpus.records(_released(spark, d)).where("norm IS NOT NULL").select("record_id", framed(token_ids(F.col("norm")), 128, 3).alias("ids"))
     return rows.select("record_id", F.size("ids").alias("width"), F.size(F.filter("ids", lambda t: t == 1)).alias("padding"), _checksum(F.col("ids")).alias("checksum"))
 
 

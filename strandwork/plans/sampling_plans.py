@@ -202,20 +202,20 @@ def unigram_losses(spark, d):
 
 @query(
     "length_batches",
-    f"""WITH {RECORDS}, o AS (SELECT record_id, length(norm) AS length, row_number() OVER (ORDER BY length(norm), record_id) AS rn FROM r WHERE split = 'validation' AND norm IS NOT NULL)
+    f"""WITH {RECORDS}, o AS (SELECT record_id, length(norm) AS length, row_number() OVER (ORDER BY length(norm), record_id) AS rn FROM r WHERE norm IS NOT NULL)
     SELECT record_id, length, (rn - 1) // 32 AS batch, ((rn - 1) // 32) % 4 AS worker FROM o""",
 )
 def length_batches(spark, d):
-    rows = corpus.records(table(spark, d, "released_sequences"), "validation").select("record_id", F.col("norm_length").alias("length"))
+    rows = corpus.records(table(spark, d, "released_sequences")).select("record_id", F.col("norm_length").alias("length"))
     return reports.length_batches(rows, "record_id", 32, 4)
 
 
 @query("batch_balance")
 def batch_balance(spark, d):
     """Batches of 64 consecutive permuted records, dealt to 4 ranks by balanced load (sequential inside a batch)."""
-    rows = corpus.records(table(spark, d, "released_sequences"), "validation").where("norm_length IS NOT NULL AND source IS NOT NULL").select("record_id", "source", F.col("norm_length").alias("length"))
+    rows = settle(corpus.records(table(spark, d, "released_sequences")).where("norm_length IS NOT NULL AND source IS NOT NULL").select("record_id", "source", F.col("norm_length").alias("length")), "balance-records")
     order = settle(sampling.permutation(rows, SEED), "balance-order").join(rows.select("record_id", "length"), "record_id")
-    batches = order.select((F.floor(F.col("position") / 64) * 100 + F.pmod(F.xxhash64("source"), F.lit(100))).alias("batch"), F.col("position").alias("item"), F.least(F.col("length") + 2, F.lit(512)).cast("bigint").alias("length"))
+    batches = order.select("source", F.floor(F.col("position") / 64).alias("batch"), F.col("position").alias("item"), F.least(F.col("length") + 2, F.lit(512)).cast("bigint").alias("length"))
     return reports.balance_batches(batches, WORLD)
 
 
