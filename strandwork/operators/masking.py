@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.hashing import TWO_52, hash52
-from strandwork.functions.sequence import CANONICAL, RESIDUES, VOCABULARY
+from strandwork.functions.sequence import CANONICAL, MASK, RESIDUES, VOCABULARY, token_ids
 from strandwork.operators.sampling import crop_offset
 
 RATE = 0.15
 LIMIT = 510
+IGNORED = -100  # fixed: the label of positions that carry no loss
 
 
 def cropped(rows: DataFrame, limit: int = LIMIT, seed: int = 20260821) -> DataFrame:
@@ -42,6 +43,13 @@ def masked(rows: DataFrame, seed: int, limit: int = LIMIT) -> DataFrame:
     return at.withColumn("targets", masked_positions(F.col("eligible"), F.col("digest"), seed))
 
 
+def corrupted(rows: DataFrame) -> DataFrame:
+    """:func:`masked` rows with ``tokens`` (targets replaced by the mask token) and ``labels`` (the hidden ids, ``IGNORED`` elsewhere)."""
+    at = rows.withColumn("ids", token_ids(F.col("crop")))
+    hidden = lambda i: F.array_contains("targets", i + 1)
+    return at.withColumn("tokens", F.transform("ids", lambda t, i: F.when(hidden(i), F.lit(MASK)).otherwise(t))).withColumn("labels", F.transform("ids", lambda t, i: F.when(hidden(i), t).otherwise(F.lit(IGNORED)))).drop("ids")
+
+
 def residue_counts(rows: DataFrame) -> list[Column]:
     """One sum per residue, by length differences (no explode)."""
     return [F.coalesce(F.sum(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(c)))), F.lit(0)).alias(c) for c in RESIDUES]

@@ -84,6 +84,13 @@ def pack_shards(rows: DataFrame, cap: int) -> DataFrame:
     return shards.join(ends, ["source", "last"]).drop("last")
 
 
+def shard_of(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """``rows`` (``source, digest`` unique) with the ``shard`` that holds each, by counting shard starts along the digests."""
+    starts = shards.select("source", F.col("least_digest").alias("digest"), F.lit(1).alias("begins"))
+    placed = ranked(rows.join(starts, ["source", "digest"], "left"), ["source"], ["digest"], "begins")
+    return placed.select(*rows.columns, (F.col("before") + F.coalesce("begins", F.lit(0)) - 1).alias("shard"))
+
+
 def weight_column(weights: Mapping[str, float], source: str = "source") -> Column:
     """The weight of a source over the sum of weights; null for sources without one."""
     total = sum(weights.values())
@@ -139,3 +146,77 @@ def coverage(stages: DataFrame, global_rows: DataFrame, supply: DataFrame, world
     rows = joined.select("stage", "source", "expected_draws", (F.ceil(F.round(F.col("expected_draws") * (1 + headroom) / world, 6)) * world).alias("required"), available.alias("available"), F.least(F.coalesce("unique_records", F.lit(0)), available).alias("consumed"), allowed.alias("allowed"))
     enough = (F.col("available") - F.col("consumed") >= F.col("required")) & (F.col("available") >= world)
     return rows.withColumn("unused", F.col("available") - F.col("consumed")).withColumn("exposures", F.round(F.col("expected_draws") / F.nullif(F.col("available"), F.lit(0)), 6)).withColumn("sufficient", enough).withColumn("blocked", ~enough & ~F.col("allowed"))
+
+
+def strict_check(covered: DataFrame) -> DataFrame:
+    """Whether a stage's draws may begin: ``covered`` (as from :func:`coverage`) with ``wanted, unseen, exhausted, refused, granted``.
+
+    All sources that may not be passed again are looked at before any draw: if one of them holds fewer unseen
+    records than the stage draws from it, nothing is granted to the whole stage.
+    """
+    wanted = F.ceil(F.round("expected_draws", 6)).cast("bigint")
+    rows = covered.select("stage", "source", wanted.alias("wanted"), F.col("unused").alias("unseen"), (~F.col("allowed")).alias("strict"))
+    rows = rows.withColumn("exhausted", F.col("strict") & (F.col("wanted") > F.col("unseen")))
+    stage = rows.groupBy("stage").agg(F.bool_or("exhausted").alias("refused"))
+    return rows.join(stage, "stage").withColumn("granted", F.when(F.col("refused"), F.lit(0)).otherwise(F.col("wanted")).cast("bigint"))
+
+
+POLICIES = ("error", "allow", "per_source")
+
+
+def policy_outcomes(covered: DataFrame) -> DataFrame:
+    """``stage, policy, sources, insufficient, status, refused`` for each resampling policy.
+
+    Under ``per_source`` only sources that may not be repeated count as insufficient. ``allow`` reports, but never refuses.
+    """
+    each = covered.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES))))
+    short = ~F.col("sufficient") & ((F.col("policy") != "per_source") | ~F.col("allowed"))
+    per = each.groupBy("stage", "policy").agg(F.count("*").alias("sources"), F.count_if(short).alias("insufficient"))
+    lacking = F.col("insufficient") > 0
+    return per.select("stage", "policy", "sources", "insufficient", F.when(lacking, "insufficient").otherwise("passed").alias("status"), (lacking & (F.col("policy") != "allow")).alias("refused"))
+
+
+def require_coverage(covered: DataFrame, policy: str, headroom: float = 0.01) -> DataFrame:
+    """``covered`` itself, or an error that names the stages and sources which fall short under ``policy``."""
+    if policy not in POLICIES or not 0 <= headroom < float("inf"):
+        raise ValueError("policy must be one of " + ", ".join(POLICIES) + " and headroom finite and not negative")
+    short = covered.where("NOT sufficient" + (" AND NOT allowed" if policy == "per_source" else ""))
+    if policy != "allow":
+        # one row per stage and source of the plan at most
+        lacking = [f"{r['stage']}/{r['source']}: {r['unused']} unused, {r['required']} required" for r in short.orderBy("stage", "source").collect()]
+        if lacking:
+            raise ValueError("too few records: " + "; ".join(lacking))
+    return covered
+
+
+def reusable_sources(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``source, old_shards, new_shards, action`` of two plans (``source, shard, records``): unchanged sources are reused, the others written."""
+    a = old.select("source", "shard", F.col("records").alias("a"))
+    b = new.select("source", "shard", F.col("records").alias("b"))
+    both = a.join(b, ["source", "shard"], "full_outer")
+    same = F.bool_and(F.col("a").eqNullSafe(F.col("b")))
+    return both.groupBy("source").agg(F.count("a").alias("old_shards"), F.count("b").alias("new_shards"), F.when(same, "reuse").otherwise("write").alias("action"))
+
+
+def shard_rules(manifest: DataFrame) -> DataFrame:
+    """``rule, shards, violations`` of a manifest: ``source, split, path, records, residues, least_digest, greatest_digest``.
+
+    Paths are unique, relative and named after source and split; shards hold records and residues; digests are
+    well formed, and rise strictly from shard to shard of a source and split; every source has both splits.
+    """
+    hexed = lambda c: F.coalesce(F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(False))
+    order = Window.partitionBy("source", "split").orderBy("path")  # shards, not rows
+    rows = manifest.withColumn("previous", F.lag("greatest_digest").over(order)).withColumn("times", F.count("*").over(Window.partitionBy("path")))
+    rows = rows.join(manifest.groupBy("source").agg(F.countDistinct("split").alias("splits")), "source")
+    checks = {
+        "path_unique": F.col("times") == 1,
+        "path_relative": ~F.col("path").startswith("/") & ~F.array_contains(F.split("path", "/"), ".."),
+        "path_named": F.col("path").startswith(F.concat_ws("/", "source", "split", F.lit(""))),
+        "holds_records": (F.col("records") > 0) & (F.col("residues") > 0),
+        "digests_formed": hexed("least_digest") & hexed("greatest_digest"),
+        "digests_rise": (F.col("least_digest") <= F.col("greatest_digest")) & (F.col("previous").isNull() | (F.col("least_digest") > F.col("previous"))),
+        "both_splits": F.col("splits") == 2,
+    }
+    counts = rows.agg(F.count("*").alias("shards"), *[F.count_if(~F.coalesce(holds, F.lit(False))).alias(name) for name, holds in checks.items()])
+    entries = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in checks]))
+    return counts.select("shards", entries.alias("e")).select("e.rule", "shards", "e.violations")

@@ -65,6 +65,26 @@ def coverage_check(parts: DataFrame, expected: DataFrame, key: str) -> DataFrame
     return both.agg(F.count_if(F.col("wanted") & F.col("times").isNull()).alias("missing"), F.count_if(F.col("times") > 1).alias("repeated"), F.count_if(F.col("wanted").isNull()).alias("unknown"), F.count_if(F.col("wanted") & (F.col("times") == 1)).alias("once"))
 
 
+def strict_merge(parts: DataFrame, population: DataFrame, key: str, workers: int) -> DataFrame:
+    """``expected, once, missing, repeated, unknown, misplaced`` of worker outputs: ``key, position, worker``.
+
+    ``population``: ``key, position``. Units are dealt by position, so unit ``p`` must come from worker ``p mod workers``
+    (misplaced otherwise). All but ``once`` must be 0, and ``once`` all that is expected, for a merge to stand.
+    """
+    moved = F.col("worker") != F.pmod("position", F.lit(workers))
+    per = parts.groupBy(key).agg(F.count("*").alias("times"), F.bool_or(moved).alias("moved"))
+    both = population.select(key, F.lit(True).alias("wanted")).join(per, key, "full_outer")
+    held = F.col("wanted") & F.col("times").isNotNull()
+    return both.agg(
+        F.count("wanted").alias("expected"),
+        F.count_if(held & (F.col("times") == 1)).alias("once"),
+        F.count_if(F.col("wanted") & F.col("times").isNull()).alias("missing"),
+        F.count_if(held & (F.col("times") > 1)).alias("repeated"),
+        F.count_if(F.col("wanted").isNull()).alias("unknown"),
+        F.count_if(held & F.col("moved")).alias("misplaced"),
+    )
+
+
 def reward_gate(trials: list[tuple[int, float, float, float]]) -> list[tuple[int, str, float, float]]:
     """Fold trials ``(trial, first, mean, sd)`` in order; the incumbent starts as the first one.
 

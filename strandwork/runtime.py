@@ -73,6 +73,11 @@ def drop_scratch(spark: SparkSession) -> None:
 _roots: set[str] = set()
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the application's scratch folder."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
@@ -81,7 +86,7 @@ def settle(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     column reads its files only. The tables live until :func:`drop_scratch`, or the end of the driver.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

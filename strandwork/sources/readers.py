@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwork.operators.ordering import ranked
+
 RECORD = "sequence string, sha256 string, length int"
 SHARD = "path string, sha256 string, records bigint, residues bigint, bytes bigint, minimum_sequence_sha256 string, maximum_sequence_sha256 string"
 
@@ -15,8 +17,23 @@ def shards(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def pinned(spark: SparkSession, root: str, files: list[str], schema: str) -> DataFrame:
-    """A version pinned as an explicit list of files under ``root``; only those are listed and read."""
-    return spark.read.schema(schema).parquet(*[f"{root.rstrip('/')}/{f}" for f in files])
+    """A version pinned as an explicit list of files or folders under ``root``; only those are listed and read.
+
+    Columns that folder names hold (``name=value``) may be in ``schema``.
+    """
+    base = root.rstrip("/")
+    return spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{f}" for f in files])
+
+
+def missing_paths(spark: SparkSession, root: str, files: list[str]) -> list[str]:
+    """Those of a pinned list that aren't there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{f}")
+        if not path.getFileSystem(conf).exists(path):
+            out.append(f)
+    return out
 
 
 def release_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -43,16 +60,22 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """``ordinal, id``: a text file of ids, in file order."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\r?\n")).alias("ordinal", "id"))
+    """``ordinal, id``: text files of ids, in file order; lines are numbered by file, place of the split, and place in it."""
+    lines = spark.read.text(path).select(F.rtrim("value", F.lit("\r")).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return ranked(lines, [], ["file", "block", "place"]).select((F.col("rn") - 1).alias("ordinal"), "id")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """``path, content, sha256``: whole files with their digests."""
+    """``path, content, sha256``: whole files with their digests (a payload is one cell)."""
     return spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def bound_payloads(files: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Payloads (``name, sha256, ...``) beside an inventory (``name, declared``): ``name, declared, sha256, bound``, with either side kept."""
+    both = files.select("name", "sha256").join(inventory.select("name", F.lower("declared").alias("declared")), "name", "full_outer")
+    return both.select("name", "declared", "sha256", F.coalesce(F.col("declared") == F.col("sha256"), F.lit(False)).alias("bound"))
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """``name, description, sequence``: records separated by ``>``, split in parallel."""
     chunks = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
