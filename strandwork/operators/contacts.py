@@ -105,27 +105,49 @@ def bootstrap_interval(values: DataFrame, replicates: int, seed: int) -> DataFra
 
 
 def fit_probe(embeddings: DataFrame, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> DataFrame:
-    """L1 logistic probes over a grid of inverse strengths; the best average precision, ties to the smaller strength.
+    """L1 logistic probes over a grid of inverse strengths: ``c, average_precision, place``, the best first, ties to the smaller strength.
 
     Fitted on the vectors with an odd id, scored on those with an even id. A different solver
     than the usual one: coefficients agree approximately.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    data = embeddings.where("embedding IS NOT NULL AND label IS NOT NULL").select("vec_id", array_to_vector("embedding").alias("features"), (F.col("label") == 0).cast("double").alias("label"))
+    data = probe_data(embeddings)
     train, held = data.where("vec_id % 2 = 1"), data.where("vec_id % 2 = 0")
-    n = max(1, train.count())
     out = None
     for c in grid:
-        model = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=False, maxIter=200).fit(train)
-        scored = model.transform(held).select(F.lit(c).alias("grp"), F.round(vector_to_array("probability")[1], 6).alias("score"), (F.col("label") == 1).alias("target"))
+        scored = _scored(_probe(train, c), held, c)
         row = average_precision(scored)
         out = row if out is None else out.unionByName(row)
     order = Window.orderBy(F.desc("average_precision"), "grp")  # one row per strength of the grid
     return out.withColumn("place", F.row_number().over(order)).select(F.col("grp").alias("c"), "average_precision", "place")
 
 
+def probe_data(embeddings: DataFrame) -> DataFrame:
+    """``vec_id, features, label``: vectors with a label, the first label being the target."""
+    from pyspark.ml.functions import array_to_vector
+
+    return embeddings.where("embedding IS NOT NULL AND label IS NOT NULL").select("vec_id", array_to_vector("embedding").alias("features"), (F.col("label") == 0).cast("double").alias("label"))
+
+
+def _probe(train: DataFrame, c: float):
+    from pyspark.ml.classification import LogisticRegression
+
+    n = max(1, train.count())
+    return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=False, maxIter=200).fit(train)
+
+
+def _scored(model, rows: DataFrame, c: float) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(rows).select(F.lit(c).alias("grp"), F.round(vector_to_array("probability")[1], 6).alias("score"), (F.col("label") == 1).alias("target"))
+
+
+def selected_probe(embeddings: DataFrame, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> tuple[float, list[float], float, list[list[float]]]:
+    """The probe that is kept: its strength, coefficients and intercept, refitted on all vectors, and the trace of the grid."""
+    trace = [[r["c"], r["average_precision"]] for r in fit_probe(embeddings, grid).orderBy("place").collect()]
+    model = _probe(probe_data(embeddings), trace[0][0])
+    return trace[0][0], model.coefficients.toArray().tolist(), float(model.intercept), trace
+
+
 def cache_checks(chains: DataFrame) -> DataFrame:
     """Integrity counts of a contact scoring cache: sizes, offsets, eligibility, digests."""
     n = F.col("evaluated_length")
@@ -160,3 +182,15 @@ def packed_flags(pairs: DataFrame, flag: str) -> DataFrame:
     each = placed.groupBy("chain", "byte").agg(value.alias("value"), F.count("*").alias("n"))
     hexed = F.struct("byte", F.lower(F.lpad(F.hex("value"), 2, "0")).alias("h"))
     return each.groupBy("chain").agg(F.sum("n").alias("n_pairs"), F.array_join(F.transform(F.sort_array(F.collect_list(hexed)), lambda x: x["h"]), "").alias("bits"))
+
+
+def cached_eligibility(chains: DataFrame) -> DataFrame:
+    """Each chain by its latest cache entry; eligible with at least as many resolved pairs, and contacts, as residues.
+
+    The latest entry is found by one aggregate (ties: the greater numbers), so repeated rows don't count.
+    """
+    latest = F.max(F.struct("cached_at", "evaluated_length", "valid_pair_count", F.col("true_long_range_contacts").alias("contacts")))
+    rows = chains.where("chain_id IS NOT NULL").groupBy("chain_id").agg(latest.alias("s")).select("chain_id", "s.*").drop("cached_at")
+    n = F.col("evaluated_length")
+    chance = F.round(F.col("contacts") / F.nullif(F.col("valid_pair_count"), F.lit(0)), 6)
+    return rows.select("chain_id", "evaluated_length", "valid_pair_count", "contacts", ((F.col("valid_pair_count") >= n) & (F.col("contacts") >= n)).alias("eligible"), F.least(n.cast("bigint"), "valid_pair_count").alias("scored_pairs"), chance.alias("random_precision"))

@@ -5,6 +5,7 @@ These run on the driver over single documents. :func:`config_differences` compar
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
@@ -181,3 +182,178 @@ def config_differences(left: DataFrame, right: DataFrame, free: Iterable[str] =
     """``key, old, new`` where two ``key, value`` tables differ (null-safe), but for the keys that may."""
     a, b = left.select("key", F.col("value").alias("old")), right.select("key", F.col("value").alias("new"))
     return a.join(b, "key", "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).where(~F.col("key").isin(list(free)) if list(free) else F.lit(True))
+
+
+@dataclass(frozen=True)
+class Terms:
+    """What a release, or a corpus prepared from one, must declare; tags and names are those of the release at hand."""
+
+    protocol: str
+    ownership: str
+    evaluations: tuple[str, ...]
+    sources: tuple[str, ...]
+    verification: tuple[str, ...] = ()
+    identity: float = 0.30
+    coverage: float = 0.80
+    evalue: float = 0.001
+
+
+def holds_all(wanted: Iterable[str]) -> Callable[[Any], bool]:
+    names = set(wanted)
+    return lambda x: isinstance(x, (list, tuple, Mapping)) and names <= set(x)
+
+
+def threshold_rules(base: str, t: Terms) -> list[Rule]:
+    """The thresholds of an outside search, below ``base``."""
+    wanted = {"minimum_sequence_identity": t.identity, "minimum_query_coverage": t.coverage, "minimum_target_coverage": t.coverage, "maximum_evalue": t.evalue, "coverage_mode": 0}
+    return [(f"{base}.{name}", equals(value)) for name, value in wanted.items()]
+
+
+def release_problems(manifest: Any, t: Terms, topologies: Mapping[str, Mapping[str, tuple[SearchProtocol, ...]]]) -> list[str]:
+    """Why a release's document can't be trusted (empty if it can): ownership, screening, searches, sources.
+
+    Its shards are held against :func:`strandwork.operators.planning.shard_rules`, as a table.
+    """
+    rules: list[Rule] = [
+        ("protocol", equals(t.protocol)),
+        ("status", equals("verified")),
+        ("global_exact_ownership.protocol", equals(t.ownership)),
+        ("verification.global_train_exact_duplicate_intersection", equals(0)),
+        ("decontamination.scope", equals("all_evaluation_splits")),
+        ("decontamination.homology_exclusion_receipt_sha256", digest),
+        *threshold_rules("decontamination.thresholds", t),
+        ("decontamination.evaluation_protocols", holds_all(t.evaluations)),
+        ("sources", lambda x: isinstance(x, Mapping) and set(x) == set(t.sources)),
+        *((f"sources.{s}.{split}", lambda x: isinstance(x, (list, tuple)) and len(x) > 0) for s in t.sources for split in ("train", "validation")),
+    ]
+    searched = search_problems(at(manifest, "decontamination.search_contracts"), topologies)
+    return problems(manifest, rules) + [f"search.{x}" for x in searched]
+
+
+def corpus_problems(manifest: Any, verification: Any, manifest_digest: str, t: Terms, topologies: Mapping[str, Mapping[str, tuple[SearchProtocol, ...]]]) -> list[str]:
+    """Why a prepared corpus may not be trained on; fails closed where anything is missing.
+
+    The verification must name this very manifest and exclusion receipt, and have found no overlap in any source.
+    """
+    contract = "decontamination.homology_contract"
+    rules: list[Rule] = [
+        ("decontamination.homology_exclusion", equals(True)),
+        ("decontamination.homology_exclusion_receipt_sha256", lambda x: isinstance(x, str)),
+        (f"{contract}.status", equals("verified")),
+        (f"{contract}.protocol", equals(t.protocol)),
+        (f"{contract}.scope_used_for_training", equals("all evaluation splits")),
+        (f"{contract}.blocked_benchmark_candidates_are_protected", equals(True)),
+        (f"{contract}.evaluation_protocols", holds_all(t.evaluations)),
+        *threshold_rules(f"{contract}.thresholds", t),
+    ]
+    none = ("train_excluded_intersection", "validation_excluded_intersection", "train_validation_intersection")
+    proof: list[Rule] = [
+        ("status", equals("verified")),
+        ("protocol", lambda x: x in t.verification),
+        ("manifest_sha256", equals(manifest_digest)),
+        ("homology_exclusion_receipt_sha256", equals(at(manifest, "decontamination.homology_exclusion_receipt_sha256"))),
+        *((f"sources.{s}.{k}", equals(0)) for s in t.sources for k in none),
+    ]
+    searched = search_problems(at(manifest, f"{contract}.search_contracts"), topologies)
+    return problems(manifest, rules) + [f"search.{x}" for x in searched] + [f"verification.{x}" for x in problems(verification, proof)]
+
+
+def unscreened_problems(manifest: Any, receipt: Any, proof: Any, digests: Mapping[str, str], protocol: str, sources: Iterable[str], added: str) -> list[str]:
+    """Why an openly unscreened corpus isn't what it says; its documents must admit that no screening was done.
+
+    ``digests``: of the ``manifest`` and the preparation ``receipt``; ``added``: the source prepared without a screen.
+    """
+    documents: dict[str, tuple[Any, list[Rule]]] = {
+        "manifest": (manifest, [("protocol", equals(protocol)), ("sources", lambda x: isinstance(x, Mapping) and set(x) == set(sources)), ("decontamination.homology_exclusion", equals(False)), ("decontamination.status", equals("not_performed"))]),
+        "receipt": (receipt, [("status", equals("prepared_unscreened")), ("global_exact_duplicates", equals(0)), ("training_store", lambda x: x is not None and x == at(manifest, f"sources.{added}.train"))]),
+        "proof": (proof, [("status", equals("integrity_verified_unscreened")), ("evaluation_contamination_checked", equals(False)), ("manifest_sha256", equals(digests["manifest"])), ("preparation_sha256", equals(digests["receipt"]))]),
+    }
+    return [f"{name}.{x}" for name, (document, rules) in documents.items() for x in problems(document, rules)]
+
+
+def probe_receipt(coefficients: Iterable[float], intercept: float, strength: float, trace: list[Any], bound: Mapping[str, Any]) -> dict[str, Any]:
+    """The document of a fitted probe, bound to what it was fitted on (``bound``: digests, seed, caps)."""
+    return {"schema_version": 1, **bound, "coefficients": [float(x) for x in coefficients], "intercept": float(intercept), "selected_C": float(strength), "validation_trace": trace}
+
+
+def probe_problems(receipt: Any, bound: Mapping[str, Any], channels: int) -> list[str]:
+    """Why a probe can't be applied here: bound to something else, or not made of ``channels`` finite numbers."""
+    finite = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+    rules: list[Rule] = [("schema_version", equals(1)), *((k, equals(v)) for k, v in bound.items())]
+    rules += [("coefficients", lambda x: isinstance(x, list) and len(x) == channels and all(map(finite, x))), ("intercept", finite), ("selected_C", finite), ("validation_trace", lambda x: isinstance(x, list))]
+    return problems(receipt, rules)
+
+
+def accounting_problems(saved: Mapping[str, Any], records: Mapping[str, int], data_digest: str) -> list[str]:
+    """Whether a saved run's counters add up: sequences from steps, draws from cursors, and cursors inside their sources.
+
+    ``saved``: ``data_digest, step, sequences, world, batch, samplers`` (per source ``size, epoch, cursor, prior,
+    allow_resampling``); ``records``: what the data holds per source.
+    """
+    out = [] if saved.get("data_digest") == data_digest else ["data_digest"]
+    if saved["sequences"] != saved["batch"] * saved["world"] * saved["step"]:
+        out.append("sequences")
+    draws = 0
+    for name, s in saved["samplers"].items():
+        draws += s.get("prior", 0) + s["cursor"] if s["epoch"] == 0 else s["epoch"] * s["size"] + s["cursor"]
+        checks = {"size": s["size"] == records.get(name), "cursor": 0 <= s["cursor"] <= s["size"], "epoch": s["epoch"] == 0 or s["allow_resampling"]}
+        out += [f"samplers.{name}.{k}" for k, holds in checks.items() if not holds]
+    return out if draws == saved["sequences"] else [*out, "draws"]
+
+
+def run_problems(runs: list[Mapping[str, Any]], profile: str = "search", units: int = 8192) -> list[str]:
+    """Why runs can't be summarised together: they must differ in nothing but the seed, have spent their budgets, and be evaluated whole.
+
+    A run: ``config`` (with ``seed``), ``completion``, ``evaluation``.
+    """
+    if len(runs) < 2:
+        return ["runs"]
+    recipes = [{k: v for k, v in r["config"].items() if k != "seed"} for r in runs]
+    seeds = [r["config"].get("seed") for r in runs]
+    settings = [at(r["evaluation"], "validation_mlm.settings") for r in runs]
+    shared = {"seeds": len(set(seeds)) == len(seeds), "recipe": all(x == recipes[0] for x in recipes), "settings": all(x == settings[0] for x in settings)}
+    out = [name for name, holds in shared.items() if not holds]
+    for i, r in enumerate(runs):
+        done, budget = r["completion"], r["config"].get("max_model_tokens")
+        rules: list[Rule] = [("checkpoint_sha256", equals(at(done, "final_checkpoint.sha256"))), ("profile", equals(profile)), ("validation_mlm.sequences", equals(units)), ("contact.evaluation_chains", equals(units))]
+        out += [f"{i}.evaluation.{x}" for x in problems(r["evaluation"], rules)]
+        if budget is not None:
+            over = (done.get("model_tokens") or 0) - budget
+            spent: list[Rule] = [("stop_reason", equals("max_model_tokens")), ("target_model_tokens", equals(budget)), ("model_token_budget_reached", equals(True)), ("model_token_overrun", lambda x, over=over, last=done.get("last_optimizer_step_model_tokens") or 0: x == over and 0 <= over < last)]
+            out += [f"{i}.completion.{x}" for x in problems(done, spent)]
+    return out
+
+
+# Device names of the declared profiles, with seconds of a round.
+HARDWARE = [("l40s-60m", r"\bL40S\b", 3600), ("h100-20m", r"\bH100\b", 1200)]
+
+
+def hardware_profile(devices: DataFrame) -> DataFrame:
+    """``host, devices, profile, seconds`` of hosts (``host, name, memory_bytes``); null where no profile covers a host.
+
+    A host needs four devices of one name and at least 44 GiB each.
+    """
+    per = devices.groupBy("host").agg(F.count("*").alias("devices"), F.countDistinct("name").alias("names"), F.min("name").alias("name"), F.min("memory_bytes").alias("least"))
+    fits = (F.col("devices") == 4) & (F.col("names") == 1) & (F.col("least") >= 44 * 1024**3)
+    profile, seconds = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for name, pattern, time in reversed(HARDWARE):
+        matched = fits & F.col("name").rlike(pattern)
+        profile, seconds = F.when(matched, name).otherwise(profile), F.when(matched, time).otherwise(seconds)
+    return per.select("host", "devices", profile.alias("profile"), seconds.alias("seconds"))
+
+
+def load_recipe(path: str) -> dict[str, Any]:
+    """A recipe file, JSON or (where a YAML parser is installed) YAML; anything but a mapping is refused."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    try:
+        recipe = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ModuleNotFoundError as missing:
+            raise ValueError(f"{path} is not JSON, and no YAML parser is installed") from missing
+        recipe = yaml.safe_load(text)
+    if not isinstance(recipe, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return recipe

@@ -143,3 +143,16 @@ def overlaps_of_splits(released: DataFrame, evaluation: DataFrame) -> DataFrame:
     per = digests.groupBy("digest").agg(*[F.bool_or(F.col("part") == p).alias(p) for p in ("train", "validation", "protected")])
     both = lambda a, b: F.count_if(F.col(a) & F.col(b)).alias(f"{a}_{b}")
     return per.agg(F.count_if("train").alias("train"), F.count_if("validation").alias("validation"), F.count_if("protected").alias("protected"), both("train", "validation"), both("train", "protected"), both("validation", "protected"))
+
+
+def accession_class(accession: Column) -> Column:
+    """The origin of an accession: ``img``, ``mgnify_origin``, ``missing`` (null) or ``unclassified``."""
+    return F.when(accession.isNull(), "missing").when(accession.rlike("^([0-9]{7,}|Ga|IMG|JGI)"), "img").when(accession.rlike("^(ERZ|ERR|ERS|ERP|MGY)"), "mgnify_origin").otherwise("unclassified")
+
+
+def excluding_origin(rows: DataFrame, accession: str = "accession", strict: bool = False) -> DataFrame:
+    """``rows`` with ``class`` and ``kept`` (not of the excluded origin). ``strict``: an accession of no known class fails the build."""
+    kind = accession_class(F.col(accession))
+    if strict:
+        kind = F.when(kind == "unclassified", F.raise_error(F.concat(F.lit("unclassified accession: "), F.col(accession)))).otherwise(kind)
+    return rows.withColumn("class", kind).withColumn("kept", F.col("class") != "mgnify_origin")

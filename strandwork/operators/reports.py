@@ -165,3 +165,53 @@ def ordered_equal(left: DataFrame, right: DataFrame, ordinal: str, value: str) -
 def previous(value: str, group: list[str], order: str) -> Column:
     """The value of the row before, in a bounded group."""
     return F.lag(value).over(Window.partitionBy(*group).orderBy(order))
+
+
+def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """How two sets of keys differ, both ways; null keys are no members."""
+    a = left.where(F.col(key).isNotNull()).select(key).distinct().withColumn("l", F.lit(1))
+    b = right.where(F.col(key).isNotNull()).select(key).distinct().withColumn("r", F.lit(1))
+    only_left, only_right = F.count_if(F.col("r").isNull()), F.count_if(F.col("l").isNull())
+    both = a.join(b, key, "full_outer")
+    return both.agg(F.count("l").alias("left_keys"), F.count("r").alias("right_keys"), only_left.alias("only_left"), only_right.alias("only_right"), (only_left + only_right == 0).alias("equal"), (only_left == 0).alias("right_holds_left"), (only_right == 0).alias("left_holds_right"))
+
+
+DIGEST_CHUNK = 1024
+
+
+def ordered_digest(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """``group, units, digest``: an order-sensitive digest of any number of rows, by two levels of ``DIGEST_CHUNK`` texts each, and one above."""
+    level = ranked(rows.select(group, order, text), [group], [order]).select(group, (F.col("rn") - 1).alias("n"), F.col(text).alias("h"), F.lit(1).alias("units"))
+    joined = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), "\n"), 256)
+    for _ in range(2):
+        level = level.groupBy(group, F.floor(F.col("n") / DIGEST_CHUNK).alias("m")).agg(joined.alias("h"), F.sum("units").alias("units")).withColumnRenamed("m", "n")
+    return level.groupBy(group).agg(F.sum("units").alias("units"), joined.alias("digest"))
+
+
+# Units and attempts of the two evaluation profiles.
+PROFILES = [("search", "contact", "chain", 8192, 1), ("search", "chain_loss", "chain", 8192, 1), ("scaleup", "contact", "chain", 26062, 5), ("scaleup", "chain_loss", "chain", 26062, 5), ("scaleup", "record_loss", "record", 12288, 5)]
+
+
+def profile_tasks(chains: DataFrame, held: DataFrame) -> DataFrame:
+    """``profile, kind, units, attempts, tasks`` for the chains and records there are (one row each: ``chain``, ``record``)."""
+    counts = chains.select(F.lit("chain").alias("of"), F.col("chain").alias("n")).unionByName(held.select(F.lit("record").alias("of"), F.col("record").alias("n")))
+    wanted = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("profile", "kind", "what", "most", "attempts"), p)]) for p in PROFILES])
+    rows = counts.select("of", "n", F.explode(wanted).alias("p")).where("p.what = of").select("p.profile", "p.kind", F.least(F.col("n"), F.col("p.most").cast("bigint")).alias("units"), "p.attempts")
+    return rows.withColumn("tasks", F.col("units") * F.col("attempts"))
+
+
+def step_split(stages: DataFrame, world: int, fraction: float = 2 / 3) -> DataFrame:
+    """``stage, global_batch, steps, first_steps, second_steps, consumed, first_left, second_left`` of each stage with a positive layout."""
+    rows = stages.where("context_length > 0 AND micro_batch_size > 0 AND gradient_accumulation > 0")
+    batch = F.col("micro_batch_size") * F.col("gradient_accumulation") * world
+    sized = rows.select(F.col("name").alias("stage"), batch.alias("global_batch"), F.ceil(F.col("budget_residues") / (F.col("context_length").cast("bigint") * batch)).alias("steps"))
+    first = F.least("steps", F.ceil(F.round(F.col("steps") * F.lit(fraction), 9)))
+    split = sized.withColumn("first_steps", first).withColumn("second_steps", F.col("steps") - first).withColumn("consumed", F.floor(F.col("steps") / 2))
+    none = F.lit(0).cast("bigint")
+    return split.withColumn("first_left", F.greatest(none, F.col("first_steps") - F.col("consumed"))).withColumn("second_left", F.greatest(none, F.col("steps") - F.greatest("first_steps", "consumed")))
+
+
+def transferred(width: Column, layers: Column, rate: float = 6e-4, decay: float = 0.01, base_width: float = 512, base_layers: float = 16) -> tuple[Column, Column]:
+    """Learning rate and weight decay carried from a base width and depth to another."""
+    moved = F.lit(rate) * base_width / width * F.sqrt(F.lit(float(base_layers)) / layers)
+    return moved, F.lit(rate * decay) / moved

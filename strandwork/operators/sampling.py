@@ -113,3 +113,46 @@ def hashed_subset(ids: DataFrame, key: str, seed: int, limit: int, shards: int)
 def crop_offset(digest: Column, size: Column, limit: int, seed: int) -> Column:
     """A crop start for longer sequences, by hash; 0 for the rest."""
     return F.when(size > limit, F.pmod(hash52(seed, digest), size - limit + 1)).otherwise(F.lit(0)).cast("bigint")
+
+
+def source_seed(source: Column, seed: int) -> Column:
+    """``seed`` plus the first eight bytes of the SHA-256 of a source's name."""
+    return F.conv(F.substring(F.sha2(source, 256), 1, 16), 16, 10).cast("decimal(20,0)") + F.lit(seed).cast("decimal(20,0)")
+
+
+def portable_check(ranks: DataFrame, drawn: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``source, ranks, counted, epoch, cursor, size, agrees``: counts of all ranks (``source, rank, n``) against the cursor left by the drawn rows.
+
+    A state may move to another number of ranks only if the counts add up to the draws that the cursor stands for.
+    """
+    counted = ranks.groupBy("source").agg(F.count("*").alias("ranks"), F.sum("n").alias("counted"))
+    last = drawn.groupBy("source").agg(F.max(F.struct("epoch", "position")).alias("s")).select("source", F.col("s.epoch").cast("bigint").alias("epoch"), (F.col("s.position") + 1).alias("cursor"))
+    both = counted.join(last, "source", "full_outer").join(sizes, "source", "left")
+    agrees = F.col("counted").eqNullSafe(F.col("epoch") * F.col("size") + F.col("cursor"))
+    return both.select("source", "ranks", "counted", "epoch", "cursor", "size", agrees.alias("agrees"))
+
+
+def restored(saved: DataFrame, contract: DataFrame) -> DataFrame:
+    """Saved states beside the contract they must meet (``size, seed, allowed`` per stage and source).
+
+    ``valid``: a first epoch, or resampling allowed, with the cursor inside the source. ``restored``: the state is there and nothing of the contract differs.
+    """
+    same = ["size", "seed", "allowed"]
+    wanted = contract.select("stage", "source", *[F.col(c).alias(f"_{c}") for c in same])
+    equal = F.lit(True)
+    for c in same:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    valid = (F.col("epoch") >= 0) & ((F.col("epoch") == 0) | F.col("allowed")) & F.col("epoch_cursor").between(0, F.col("size"))
+    return wanted.join(saved, ["stage", "source"], "left").select("stage", "source", *same[:2], "epoch", "epoch_cursor", "allowed", valid.alias("valid"), equal.alias("restored"))
+
+
+def migration(rows: DataFrame, seed: int, new_seed: int, world: int, cursor: int) -> DataFrame:
+    """``source, old_size, new_size, consumed, unseen, appended, queue, valid`` of an expansion; ``rows``: ``record_id, source, old``."""
+    order = permutation(rows.where("old"), seed)
+    used = order.where(F.floor(F.col("position") / world) < cursor).select("source", "record_id", F.lit(1).alias("used"))
+    fresh = rows.where("NOT old AND source IS NOT NULL").select("source", "record_id")
+    queue = permutation(unseen(order, world, cursor).select("source", "record_id").unionByName(fresh), new_seed).select("source", "record_id", F.lit(1).alias("queued"))
+    each = rows.where("source IS NOT NULL").join(used, ["source", "record_id"], "left").join(queue, ["source", "record_id"], "left")
+    once = F.coalesce("used", F.lit(0)) + F.coalesce("queued", F.lit(0)) == 1
+    per = each.groupBy("source").agg(F.count_if("old").alias("old_size"), F.count("*").alias("new_size"), F.count("used").alias("consumed"), F.count("queued").alias("queue"), F.bool_and(once).alias("valid"))
+    return per.select("source", "old_size", "new_size", "consumed", (F.col("old_size") - F.col("consumed")).alias("unseen"), (F.col("new_size") - F.col("old_size")).alias("appended"), "queue", "valid")

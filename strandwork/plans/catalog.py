@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwork.plans import corpus_plans, evaluation_plans, sampling_plans, store_plans  # noqa: F401  (they register queries)
+from strandwork.plans import contract_plans, corpus_plans, evaluation_plans, sampling_plans, store_plans  # noqa: F401  (they register queries)
 from strandwork.plans.registry import QUERIES, SQL, Query
 
 

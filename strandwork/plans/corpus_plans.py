@@ -103,18 +103,7 @@ def protected_homology(spark, d):
         WHEN regexp_matches(accession, '^(ERZ|ERR|ERS|ERP|MGY)') THEN 'mgnify_origin' ELSE 'unclassified' END AS class, doc_kind, count(*) AS documents FROM documents GROUP BY ALL""",
 )
 def accession_classes(spark, d):
-    a = F.col("accession")
-    kind = F.when(a.isNull(), "missing").when(a.rlike("^([0-9]{7,}|Ga|IMG|JGI)"), "img").when(a.rlike("^(ERZ|ERR|ERS|ERP|MGY)"), "mgnify_origin").otherwise("unclassified")
-    return table(spark, d, "documents").groupBy(kind.alias("class"), "doc_kind").agg(F.count("*").alias("documents"))
-
-
-@query(
-    "validation_first_k",
-    f"""WITH {RECORDS}, v AS (SELECT source, digest, min(record_id) AS record_id FROM r WHERE split = 'validation' AND digest IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2)
-    SELECT source, rn, digest, record_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY digest) AS rn FROM v) WHERE rn <= 20""",
-)
-def validation_first_k(spark, d):
-    return corpus.first_k(corpus.records(_released(spark, d), "validation"), 20)
+    return table(spark, d, "documents").groupBy(corpus.accession_class(F.col("accession")).alias("class"), "doc_kind").agg(F.count("*").alias("documents"))
 
 
 VALIDATION_SIZE = 4096
@@ -328,37 +317,6 @@ def data_coverage(spark, d):
     return planning.coverage(table(spark, d, "stages"), table(spark, d, "global_rows"), supply)
 
 
-@query(
-    "plan_prefix_check",
-    f"""{packed_sql(SHARD_CAP)}, a AS (SELECT source, shard, records FROM shards), p AS (SELECT source, shard, records FROM shards WHERE shard < 3)
-    SELECT count(*) AS planned, count(*) FILTER (a.records IS DISTINCT FROM p.records) AS different, (SELECT count(*) FROM a) - count(*) AS unplanned FROM p LEFT JOIN a ON a.source = p.source AND a.shard = p.shard""",
-)
-def plan_prefix_check(spark, d):
-    """A plan's shards must be the release's first ones of each source, in order."""
-    shards = settle(packed(spark, d).select("source", "shard", "records"), "shards")
-    planned = shards.where("shard < 3").withColumnRenamed("records", "wanted")
-    both = shards.join(planned, ["source", "shard"], "full_outer")
-    return both.agg(F.count("wanted").alias("planned"), F.count_if(F.col("wanted").isNotNull() & ~F.col("wanted").eqNullSafe(F.col("records"))).alias("different"), F.count_if(F.col("wanted").isNull()).alias("unplanned"))
-
-
-@query(
-    "config_differences",
-    """WITH kv AS (SELECT name, unnest(['context_length', 'micro_batch_size', 'gradient_accumulation', 'budget_residues', 'mixture.uniref90', 'mixture.mgnify']) AS key,
-      unnest([context_length::VARCHAR, micro_batch_size::VARCHAR, gradient_accumulation::VARCHAR, budget_residues::VARCHAR, round(mixture['uniref90'], 4)::VARCHAR, round(mixture['mgnify'], 4)::VARCHAR]) AS value FROM stages)
-    SELECT coalesce(a.key, b.key) AS key, a.value AS old, b.value AS new FROM (SELECT * FROM kv WHERE name = 'base_512') a FULL JOIN (SELECT * FROM kv WHERE name = 'polish_512') b ON a.key = b.key
-    WHERE a.value IS DISTINCT FROM b.value AND coalesce(a.key, b.key) NOT IN ('budget_residues')""",
-)
-def config_differences(spark, d):
-    """Settings in which two stages differ, but for the budget."""
-    from strandwork.operators.contracts import config_differences as differences
-
-    plain = ["context_length", "micro_batch_size", "gradient_accumulation", "budget_residues"]
-    entries = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in plain]
-    entries += [F.struct(F.lit(f"mixture.{s}").alias("key"), F.round(F.try_element_at("mixture", F.lit(s)), 4).cast("string").alias("value")) for s in ("uniref90", "mgnify")]
-    kv = table(spark, d, "stages").select("name", F.explode(F.array(*entries)).alias("e")).select("name", "e.key", "e.value")
-    return differences(kv.where("name = 'base_512'"), kv.where("name = 'polish_512'"), ["budget_residues"])
-
-
 _MIXTURES = "SELECT name, 'mixture.' || e.key AS key, round(e.value, 4)::VARCHAR AS value FROM stages, unnest(map_entries(mixture)) AS u(e)"
 
 
@@ -370,7 +328,7 @@ _MIXTURES = "SELECT name, 'mixture.' || e.key AS key, round(e.value, 4)::VARCHAR
     WHERE a.value IS DISTINCT FROM b.value AND key <> 'budget_residues'""",
 )
 def config_differences_all(spark, d):
-    """:func:`config_differences` over every source that either mixture names."""
+    """Settings in which two stages differ, but for the budget, over every source that either mixture names."""
     from strandwork.operators.contracts import config_differences as differences
 
     plain = ["context_length", "micro_batch_size", "gradient_accumulation", "budget_residues"]

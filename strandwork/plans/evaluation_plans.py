@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.sequence import normalised
-from strandwork.operators import contacts, contracts, reports
+from strandwork.operators import contacts, reports
 from strandwork.operators.ordering import ranked
 from strandwork.plans.registry import query
 from strandwork.plans.sql import key, norm, u52
@@ -56,17 +56,12 @@ def precision_macro(spark, d):
     return rows.agg(F.count("*").alias("chains"), F.round(F.avg("precision_at_l"), 6).alias("precision_at_l"), F.round(F.avg("random_precision"), 6).alias("random_precision"))
 
 
-@query("pair_sample_balanced", f"WITH {_PAIRS} SELECT chain, contact, i, j, row_number() OVER (PARTITION BY chain, contact ORDER BY {key('20260819', 'chain', 'i', 'j')}) AS rn FROM pr QUALIFY rn <= 64")
-def pair_sample_balanced(spark, d):
-    return contacts.balanced_pairs(_pairs(spark, d), 64, 20260819)
-
-
 PAIRS_PER_CLASS = 4096
 
 
 @query("pair_sample_balanced_4096", f"WITH {_PAIRS} SELECT chain, contact, i, j, row_number() OVER (PARTITION BY chain, contact ORDER BY {key('20260819', 'chain', 'i', 'j')}) AS rn FROM pr QUALIFY rn <= {PAIRS_PER_CLASS}")
 def pair_sample_balanced_4096(spark, d):
-    """:func:`pair_sample_balanced` with the cap of the reference."""
+    """Up to the published number of pairs of each class and chain, which no chain of 100 positions reaches."""
     return contacts.balanced_pairs(_pairs(spark, d), PAIRS_PER_CLASS, 20260819)
 
 
@@ -291,9 +286,10 @@ def population_digest(spark, d):
 )
 def training_arithmetic(spark, d):
     """Transferred rates and model-FLOPs utilisation of three encoder sizes."""
-    rows = [(768, 24, 170671168, 560000.0), (512, 16, 60000000, 900000.0), (960, 30, 330000000, 300000.0)]
-    out = [(w, n, *(round(x, 9) for x in contracts.transfer_rates(w, n)), round(contracts.utilisation(p, t, 989, 4), 6)) for w, n, p, t in rows]
-    return spark.createDataFrame(out, "width int, layers int, learning_rate double, weight_decay double, utilisation double")
+    sizes = spark.createDataFrame([(768, 24, 170671168, 560000.0), (512, 16, 60000000, 900000.0), (960, 30, 330000000, 300000.0)], "width int, layers int, parameters bigint, speed double")
+    rate, decay = reports.transferred(F.col("width"), F.col("layers"))
+    used = 6 * F.col("parameters") * F.col("speed") / (F.lit(989e12) * 4)
+    return sizes.select("width", "layers", F.round(rate, 9).alias("learning_rate"), F.round(decay, 9).alias("weight_decay"), F.round(used, 6).alias("utilisation"))
 
 
 @query(

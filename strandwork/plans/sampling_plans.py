@@ -13,9 +13,9 @@ from strandwork.runtime import settle, table
 
 SEED = 20260820
 WORLD = 4
-#: Weights of the mixture draws.
+#: Weights of the mixture draws; there are as many draws as train records.
 WEIGHTS = {"uniref90": 0.36, "mgnify": 0.11, "omg_img": 0.54}
-DRAWS, BATCH = 6000, 256
+BATCH = 256
 CUT = "2024-09-01 00:00:00"
 CURSOR = 5
 
@@ -46,27 +46,6 @@ def rank_partition(spark, d):
     return sampling.rank_shares(sampling.permutation(_train(spark, d), SEED), WORLD)
 
 
-_DRAW = f"""draws AS (SELECT i AS draw, CASE WHEN {u52(str(SEED), "i")} / 4503599627370496.0::DOUBLE < 0.11::DOUBLE / (0.36::DOUBLE + 0.11::DOUBLE + 0.54::DOUBLE) THEN 'mgnify'
-    WHEN {u52(str(SEED), "i")} / 4503599627370496.0::DOUBLE < 0.11::DOUBLE / (0.36::DOUBLE + 0.11::DOUBLE + 0.54::DOUBLE) + 0.54::DOUBLE / (0.36::DOUBLE + 0.11::DOUBLE + 0.54::DOUBLE) THEN 'omg_img' ELSE 'uniref90' END AS source FROM range({DRAWS}) u(i))"""
-
-
-@query("mixture_draws", f"WITH {_DRAW} SELECT draw, source, draw // {BATCH} AS batch, (draw % {BATCH}) // {BATCH // WORLD} AS rank FROM draws")
-def mixture_draws(spark, d):
-    return sampling.mixture_draws(spark, WEIGHTS, DRAWS, SEED, BATCH, WORLD)
-
-
-@query(
-    "global_draw_rows",
-    f"""WITH {_TR}, {_DRAW}, sizes AS (SELECT source, count(*) AS size FROM tr GROUP BY source),
-    placed AS (SELECT draw, d.source, (row_number() OVER (PARTITION BY d.source ORDER BY draw) - 1) // size AS epoch, (row_number() OVER (PARTITION BY d.source ORDER BY draw) - 1) % size AS position FROM draws d JOIN sizes s ON s.source = d.source),
-    e AS (SELECT tr.*, k FROM tr JOIN (SELECT source, max(epoch) AS last FROM placed GROUP BY source) m ON m.source = tr.source, unnest(range(0, last + 1)) u(k)),
-    p AS ({perm_sql('e', SEED, 'k')})
-    SELECT draw, source, epoch, position, record_id FROM placed JOIN p USING (source, epoch, position)""",
-)
-def global_draw_rows(spark, d):
-    return sampling.drawn_rows(sampling.mixture_draws(spark, WEIGHTS, DRAWS, SEED, BATCH, WORLD), _train(spark, d), SEED)
-
-
 @query(
     "source_exposure",
     """WITH g AS (SELECT *, coalesce((json_extract_string(origin, '$.prior'))::BIGINT, 0) AS prior, row_number() OVER (PARTITION BY stage, source ORDER BY saved_at DESC, seed DESC, epoch DESC, epoch_cursor DESC, size DESC) AS rn FROM global_rows),
@@ -112,19 +91,6 @@ def budget_fragments(spark, d):
     return sampling.fragments_for_budget(fragments, SEED, 5000, 10)
 
 
-@query(
-    "prefix_verify",
-    """WITH t AS (SELECT DISTINCT store, row_index, digest, length FROM token_store_index), a AS (SELECT row_index, max(hex(digest)) AS a FROM t WHERE store = 'training/omg_img/validation-00' GROUP BY 1),
-    b AS (SELECT row_index, max(hex(digest)) AS b FROM t WHERE store = 'training/mgnify/validation-00' GROUP BY 1)
-    SELECT count(*) AS rows, count(*) FILTER (a IS DISTINCT FROM b) AS different, count(*) FILTER (a.row_index IS NULL) AS only_right, count(*) FILTER (b.row_index IS NULL) AS only_left FROM a FULL JOIN b ON a.row_index = b.row_index""",
-)
-def prefix_verify(spark, d):
-    """Two stores compared row by row; a valid prefix shows no ``different`` rows but those only on the right."""
-    rows = table(spark, d, "token_store_index")
-    one = lambda s: rows.where(F.col("store") == s).groupBy("row_index").agg(F.max(F.hex("digest")).alias("digest"))
-    return reports.ordered_equal(one("training/omg_img/validation-00"), one("training/mgnify/validation-00"), "row_index", "digest")
-
-
 @query(
     "crop_offsets",
     f"WITH {RECORDS} SELECT record_id, CASE WHEN length(norm) > 126 THEN {u52('20260821', 'digest')} % (length(norm) - 126 + 1) ELSE 0 END AS crop_start FROM r WHERE norm IS NOT NULL",
@@ -229,15 +195,6 @@ def hash_ranked_subset(spark, d):
     return sampling.hashed_subset(table(spark, d, "cached_contact_chain"), "chain_id", SEED, 8192, 4)
 
 
-@query(
-    "shard_merge_check",
-    "WITH p AS (SELECT chain_id, count(*) AS times FROM cached_contact_chain GROUP BY 1), w AS (SELECT DISTINCT chain_id FROM cached_contact_chain WHERE chain_id IS NOT NULL) SELECT count(*) FILTER (w.chain_id IS NOT NULL AND p.chain_id IS NULL) AS missing, count(*) FILTER (times > 1) AS repeated, count(*) FILTER (w.chain_id IS NULL) AS unknown, count(*) FILTER (w.chain_id IS NOT NULL AND times = 1) AS once FROM w FULL JOIN p ON w.chain_id = p.chain_id",
-)
-def shard_merge_check(spark, d):
-    chains = table(spark, d, "cached_contact_chain")
-    return reports.coverage_check(chains.select("chain_id"), chains.where("chain_id IS NOT NULL"), "chain_id")
-
-
 @query(
     "ordered_population",
     f"""WITH c AS (SELECT chain_id, min(cached_at) AS t FROM cached_contact_chain WHERE chain_id IS NOT NULL GROUP BY 1), a AS (SELECT chain_id, row_number() OVER (ORDER BY t, chain_id) AS n FROM c), b AS (SELECT chain_id, row_number() OVER (ORDER BY chain_id) AS n FROM c)

@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.runtime import scratch_dir
+from strandwork.runtime import scratch_path
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is available, to a table in the shared folder, and read it back.
+def drain(stream: DataFrame, label: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is available, to a table in ``folder``, and read it back.
 
-    The query's checkpoint lies in the same folder, so a restart resumes without loss or repeats.
+    The query's checkpoint lies in the same folder: called again with it, the stream goes on where it stopped,
+    without loss or repeats. Without a folder every call is a stream of its own, in the scratch folder.
     """
     spark = stream.sparkSession
-    base = f"{scratch_dir(spark).rstrip('/')}/strandwork/stream-{label}-{uuid.uuid4().hex}"
+    base = folder.rstrip("/") if folder else scratch_path(spark, f"stream-{label}")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -33,9 +33,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def deduplicated(stream: DataFrame, key: str) -> DataFrame:
-    """Each key once, over all micro-batches (state is keyed, and partitioned like a shuffle)."""
-    return stream.where(F.col(key).isNotNull()).dropDuplicates([key])
+def deduplicated(stream: DataFrame, key: str, time: str | None = None, within: str | None = None) -> DataFrame:
+    """Each key once, over all micro-batches (state is keyed, and partitioned like a shuffle).
+
+    With ``time`` and ``within`` repeats are caught if they come within that delay, and older keys leave the
+    state: for streams without an end. Without them every key is remembered, for streams that are drained.
+    """
+    keyed = stream.where(F.col(key).isNotNull())
+    if time is None or within is None:
+        return keyed.dropDuplicates([key])
+    return keyed.withColumn("_at", F.col(time).cast("timestamp")).where("_at IS NOT NULL").withWatermark("_at", within).dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
 def event_windows(stream: DataFrame, time: str, width: str, lateness: str) -> DataFrame:
@@ -44,15 +51,16 @@ def event_windows(stream: DataFrame, time: str, width: str, lateness: str) -> Da
     return timed.groupBy(F.window("_at", width), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
 
 
-def periodically(stream: DataFrame, label: str, every: int, run: Callable[[DataFrame, int], None]) -> None:
+def periodically(stream: DataFrame, label: str, every: int, run: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
     """Drain a stream, calling ``run(batch, number)`` on every ``every``-th micro-batch.
 
-    The engine's checkpoint keeps the batch numbers, so a restart goes on where it stopped.
+    The engine's checkpoint in ``folder`` keeps the batch numbers, so a call with the same folder goes on where
+    the last one stopped.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         if number % every == 0:
             run(batch, number)
 
-    base = f"{scratch_dir(stream.sparkSession).rstrip('/')}/strandwork/stream-{label}-{uuid.uuid4().hex}"
+    base = folder.rstrip("/") if folder else scratch_path(stream.sparkSession, f"stream-{label}")
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
