@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,44 +31,120 @@ def manifest(rows: DataFrame) -> DataFrame:
     )
 
 
-def _next_starts(left: pd.DataFrame, right: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """For each row as a shard's start, the row that starts the next shard (within one residue bucket)."""
-    right = right.sort_values("upto")
-    upto, rn = right["upto"].to_numpy(), right["rn"].to_numpy()
-    at = np.searchsorted(upto, left["before"].to_numpy() + cap, side="right")
-    held = at < len(upto)
-    out = left.loc[held, ["source", "rn"]].copy()
-    out["following"] = rn[at[held]]
-    return out
+BLOCK_SHARDS = 4
+FANOUT = 8
+_MAP = "source string, block long, key long, value long, complete boolean"
+
+
+def _sorted(table: pa.Table, by: str, *columns: str) -> list[np.ndarray]:
+    order = np.argsort(table.column(by).to_numpy(), kind="stable")
+    return [table.column(c).to_numpy()[order] for c in columns]
+
+
+def _walk(before: np.ndarray, upto: np.ndarray, at: np.ndarray, cap: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """From shard starts ``at`` to the last start in the block, and all starts on the way."""
+    at, passed = at.copy(), [at.copy()]
+    while True:
+        following = np.maximum(at + 1, np.searchsorted(upto, before[at] + cap, side="right"))
+        inside = following < len(before)
+        if not inside.any():
+            return at, passed
+        at[inside] = following[inside]
+        passed.append(at.copy())
+
+
+def _exit(keys: np.ndarray, values: np.ndarray, start: np.ndarray, cap: int) -> np.ndarray:
+    """Where the shard that is open behind a block begins, if the one open in front of it begins at ``start``."""
+    at = np.searchsorted(keys, start + cap, side="right")
+    return np.where(at < len(keys), values[np.minimum(at, len(keys) - 1)], start) if len(keys) else start
+
+
+def _block_map(key: tuple, table: pa.Table, cap: int) -> pa.Table:
+    before, upto = _sorted(table, "rn", "before", "upto")
+    # the first new shard begins within a cap's residues: an earlier one would be over the cap by then
+    first = np.flatnonzero(before <= before[0] + cap)
+    last, _ = _walk(before, upto, first, cap)
+    return _map_table(key, upto[first], before[last], len(first) == len(before))
+
+
+def _map_table(key: tuple, keys: np.ndarray, values: np.ndarray, complete: bool) -> pa.Table:
+    n = len(keys)
+    columns = [pa.repeat(key[0], n), pa.repeat(key[1], n), pa.array(keys), pa.array(values), pa.repeat(pa.scalar(bool(complete)), n)]
+    return pa.Table.from_arrays(columns, names=["source", "block", "key", "value", "complete"])
+
+
+def _children(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray, bool]]:
+    block, keys, values, complete = (table.column(c).to_numpy(zero_copy_only=False) for c in ("block", "key", "value", "complete"))
+    order = np.lexsort((keys, block))
+    block, keys, values, complete = block[order], keys[order], values[order], complete[order]
+    begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    return [(int(block[a]), keys[a:b], values[a:b], bool(complete[a])) for a, b in zip(begin, np.append(begin[1:], len(block)))]
+
+
+def _compose(key: tuple, table: pa.Table, cap: int) -> pa.Table:
+    """The map of neighbouring blocks taken together."""
+    keys, values, complete = np.zeros(0, np.int64), np.zeros(0, np.int64), True
+    for _, k, v, whole in _children(table):
+        values = _exit(k, v, values, cap)
+        if complete:
+            # only if no shard need have begun so far can the first one begin in this block
+            keys, values = np.concatenate([keys, k]), np.concatenate([values, v])
+        complete = complete and whole
+    return _map_table((key[0], pa.scalar(key[1].as_py(), pa.int64())), keys, values, complete)
+
+
+def _hand_down(key: tuple, maps: pa.Table, states: pa.Table, cap: int) -> pa.Table:
+    """The start of the shard open in front of each child block."""
+    at = np.array([states.column("start")[0].as_py()])
+    blocks, starts = [], []
+    for block, k, v, _ in _children(maps):
+        blocks.append(block)
+        starts.append(int(at[0]))
+        at = _exit(k, v, at, cap)
+    return pa.table({"source": pa.repeat(key[0], len(blocks)), "block": pa.array(blocks, pa.int64()), "start": pa.array(starts, pa.int64())})
+
+
+def _starts(key: tuple, table: pa.Table, states: pa.Table, cap: int) -> pa.Table:
+    rn, before, upto = _sorted(table, "rn", "rn", "before", "upto")
+    first = np.searchsorted(upto, [states.column("start")[0].as_py() + cap], side="right")
+    found = np.unique(np.concatenate(_walk(before, upto, first, cap)[1])) if first[0] < len(rn) else first[:0]
+    return pa.table({"source": pa.repeat(key[0], len(found)), "rn": pa.array(rn[found], pa.int64())})
+
+
+def shard_starts(r: DataFrame, cap: int, block_shards: int = BLOCK_SHARDS) -> DataFrame:
+    """``source, rn`` of the rows that begin a shard; ``r``: ``source, rn, before, length``.
+
+    Rows are cut into blocks of ``block_shards x cap`` residues. What a block does to the packing is a map from
+    the start of the shard open in front of it to that of the one open behind it. It depends on nothing but the
+    row that begins the first shard in the block, one of those in its first ``cap`` residues, so a map is that much smaller than
+    its block. Maps of ``FANOUT`` neighbours are composed, level by level; the starts are then handed down the levels, and
+    each block is walked once. Every row is read twice, and no task holds more than a block or ``FANOUT`` maps.
+    """
+    block = F.floor(F.col("before") / (cap * block_shards))
+    rows = r.select("source", "rn", "before", (F.col("before") + F.col("length")).alias("upto"), block.alias("block"))
+    maps = [settle(rows.groupBy("source", "block").applyInArrow(lambda k, t: _block_map(k, t, cap), _MAP), "shard-maps")]
+    most = maps[0].agg(F.max("block")).first()[0] or 0
+    while most:
+        grouped = maps[-1].withColumn("parent", F.floor(F.col("block") / FANOUT)).groupBy("source", "parent")
+        maps.append(settle(grouped.applyInArrow(lambda k, t: _compose(k, t, cap), _MAP), "shard-maps"))
+        most //= FANOUT
+    # in front of the first row no shard is open
+    states = maps[-1].select("source").distinct().select("source", F.lit(0).cast("bigint").alias("block"), F.lit(-cap - 1).cast("bigint").alias("start"))
+    for level in reversed(maps[:-1]):
+        children = level.withColumn("parent", F.floor(F.col("block") / FANOUT)).groupBy("source", "parent")
+        above = states.withColumnRenamed("block", "parent").groupBy("source", "parent")
+        states = settle(children.cogroup(above).applyInArrow(lambda k, m, t: _hand_down(k, m, t, cap), "source string, block long, start long"), "shard-states")
+    return rows.groupBy("source", "block").cogroup(states.groupBy("source", "block")).applyInArrow(lambda k, t, x: _starts(k, t, x, cap), "source string, rn long")
 
 
 def pack_shards(rows: DataFrame, cap: int) -> DataFrame:
     """Sequential packing per source in digest order: a shard closes before it would cross ``cap`` residues.
 
-    ``rows``: ``source, digest, length``, digests unique in a source. The packing is sequential,
-    but not computed so: every row learns, inside its bucket of ``cap`` residues, which row would
-    start the next shard, and the chain of true starts follows by pointer doubling, in as many
-    rounds as the logarithm of the number of shards. No task ever holds a source.
-    A row longer than ``cap`` is a shard of its own.
+    ``rows``: ``source, digest, length``, digests unique in a source. The packing is sequential, but not
+    computed so (:func:`shard_starts`): no task ever holds a source. A row longer than ``cap`` is a shard of its own.
     """
     r = settle(ranked(rows.where("source IS NOT NULL AND length IS NOT NULL").select("source", "digest", F.col("length").cast("bigint").alias("length")), ["source"], ["digest"], "length"), "shard-rows")
-    bucket = F.floor(F.col("before") / cap)
-    left = r.where(F.col("length") <= cap).select("source", "rn", "before", bucket.alias("bucket"))
-    right = r.select("source", "rn", (F.col("before") + F.col("length")).alias("upto"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
-    near = left.groupBy("source", "bucket").cogroup(right.groupBy("source", "bucket")).applyInPandas(lambda a, b: _next_starts(a, b, cap), "source string, rn long, following long")
-    long_ = r.where(F.col("length") > cap).select("source", "rn", (F.col("rn") + 1).alias("following"))
-    jump = settle(near.unionByName(long_), "shard-jump")
-    starts = settle(r.where("rn = 1").select("source", "rn"), "shard-starts")
-    known = starts.count()
-    while True:
-        landed = starts.join(jump, ["source", "rn"]).select("source", F.col("following").alias("rn"))
-        starts = settle(starts.union(landed).join(r.select("source", "rn"), ["source", "rn"], "left_semi").distinct(), "shard-starts")
-        now = starts.count()
-        if now == known:
-            break
-        known = now
-        far = jump.select("source", F.col("rn").alias("first"), F.col("following").alias("rn"))
-        jump = settle(far.join(jump, ["source", "rn"]).select("source", F.col("first").alias("rn"), "following"), "shard-jump")
+    starts = settle(shard_starts(r, cap), "shard-starts")
     order = Window.partitionBy("source").orderBy("rn")  # shards, not rows
     totals = r.groupBy("source").agg(F.max("rn").alias("rows"), F.sum("length").alias("all"))
     begun = r.join(starts, ["source", "rn"], "left_semi").join(totals, "source")

@@ -142,3 +142,22 @@ def test_funnel_conserves_rows(spark):
     hits = spark.createDataFrame([("x", "cd", 95.0, 0.9, 0.9, 1e-9), ("x", "zz", None, 0.9, 0.9, 1e-9)], "evaluation_sha256 string, training_sha256 string, pident double, evaluation_coverage double, training_coverage double, evalue double")
     got = {r["record_id"]: r["reason"] for r in corpus.funnel(released, evaluation, hits).collect()}
     assert got == {1: "kept", 2: "duplicate", 3: "missing", 4: "protected_exact", 5: "validation", 7: "protected_homology", 8: "kept"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_packing_equals_walking(spark, seed):
+    rng = random.Random(seed)
+    sizes = {"a": (400, 9), "b": (1, 5), "c": (150, 60), "d": (90, 14)}
+    rows = [(s, f"{i:05}", rng.choice([0, 1, rng.randrange(1, most), most])) for s, (n, most) in sizes.items() for i in range(n)]
+    cap, wanted = [20, 7][seed - 1], []
+    for s in sizes:
+        held = None
+        for _, digest, size in sorted(r for r in rows if r[0] == s):
+            if held is None or held + size > cap:
+                held = 0
+                wanted.append([s, sum(w[0] == s for w in wanted), 0, 0, digest, digest])
+            held += size
+            wanted[-1][2:] = [wanted[-1][2] + 1, wanted[-1][3] + size, wanted[-1][4], digest]
+    frame = spark.createDataFrame(rows, "source string, digest string, length long")
+    columns = ["source", "shard", "records", "residues", "least_digest", "greatest_digest"]
+    assert sorted(tuple(r[c] for c in columns) for r in planning.pack_shards(frame, cap).collect()) == sorted(map(tuple, wanted))
