@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MAX_BITS = 1 << 29
 MIN_BITS = 1 << 16
@@ -32,24 +31,35 @@ def probe(keys: np.ndarray, bits: int, which: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) * m) >> np.uint64(64 - (bits.bit_length() - 1))
 
 
+CHUNK_WORDS = 1 << 13
+
+
 def bit_map(keys: DataFrame, bits: int, key: str = "key") -> np.ndarray:
-    """The map of a BIGINT column, combined per task before it is gathered.
+    """The map of a BIGINT column, made in chunks of ``CHUNK_WORDS`` words by the executors.
 
-    What reaches the driver is at most ``bits / 64`` words, by the size bound of the map.
+    What reaches the driver is the map itself: at most ``bits / 8`` bytes, 64 MB by the size bound.
     """
+    size = min(CHUNK_WORDS, max(1, bits // 64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
-            at = np.concatenate([probe(values, bits, i) for i in range(len(_PROBES))])
-            word, order = np.unique(at >> np.uint64(6), return_inverse=True)
-            value = np.zeros(len(word), dtype=np.uint64)
-            np.bitwise_or.at(value, order, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "value"])
-
-    words = keys.select(key).mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+            at = np.unique(np.concatenate([probe(values, bits, i) for i in range(len(_PROBES))]))
+            chunk, begin = np.unique((at // np.uint64(64 * size)).astype(np.int32), return_index=True)
+            held = [at[x:y].tobytes() for x, y in zip(begin, np.append(begin[1:], len(at)))]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(held, pa.binary())], names=["chunk", "at"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        at = np.frombuffer(b"".join(rows.column("at").to_pylist()), dtype=np.uint64) % np.uint64(64 * size)
+        marked = np.zeros(64 * size, dtype=np.uint8)
+        marked[at] = 1
+        words = np.packbits(marked, bitorder="little").tobytes()
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "words": pa.array([words], pa.binary())})
+
+    made = keys.select(key).mapInArrow(mark, "chunk int, at binary").groupBy("chunk").applyInArrow(merge, "chunk int, words binary").toArrow()
     out = np.zeros(max(1, bits // 64), dtype=np.uint64)
-    out[words.column("word").to_numpy()] = words.column("value").to_numpy().view(np.uint64)
+    for chunk, words in zip(made.column("chunk").to_pylist(), made.column("words").to_pylist()):
+        out[chunk * size : (chunk + 1) * size] = np.frombuffer(words, dtype=np.uint64)
     return out
 
 

@@ -33,6 +33,10 @@ def p2_stability(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_stability(table(spark, d, "cached_contact_chain"), SAMPLE_RATE, SAMPLE_SEED)
 
 
+def p2_domain(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.domain_check(table(spark, d, "cached_contact_chain"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "cached_contact_chain"))
 
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_draws": _p1(mixing.mixture_draws),
         "p2_sample": p2_sample,
         "p2_stability": p2_stability,
+        "p2_domain": p2_domain,
         "p3_found": p3_found,
         "p3_groups": p3_groups,
         "p4_found": p4_found,
@@ -248,6 +253,12 @@ SELECT origin, split, source, count(*) AS records, count(per.id) AS overlapping_
 FROM recs LEFT JOIN per ON per.id = recs.id GROUP BY origin, split, source"""
 
 
+P2_DOMAIN = f"""
+WITH ids AS (SELECT DISTINCT chain_id, regexp_full_match(chain_id, '[{sampling.ALPHABET}]{{1,{sampling.NUMBERED_LENGTH}}}') AS plain, substr(sha256(chain_id), 1, 15) AS h FROM cached_contact_chain WHERE chain_id IS NOT NULL),
+same AS (SELECT h, count(*) AS n FROM ids WHERE NOT plain GROUP BY h HAVING count(*) > 1)
+SELECT count(*) AS ids, count(*) FILTER (plain) AS numbered, count(*) FILTER (NOT plain) AS hashed, coalesce((SELECT sum(n) FROM same), 0)::BIGINT AS colliding FROM ids"""
+
+
 P2_STABILITY = f"""
 WITH chosen AS ({p2_sql()}), span AS (SELECT epoch(min(cached_at)) / 2 + epoch(max(cached_at)) / 2 AS m FROM cached_contact_chain),
 early AS (SELECT DISTINCT chain_id FROM cached_contact_chain, span WHERE epoch(cached_at) <= m AND chain_id IN (SELECT chain_id FROM chosen))
@@ -302,6 +313,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_draws": P1_DRAWS,
         "p2_sample": p2_sql(),
         "p2_stability": P2_STABILITY,
+        "p2_domain": P2_DOMAIN,
         "p3_found": P3_FOUND,
         "p3_groups": P3_GROUPS,
         "p4_found": P4_FOUND,

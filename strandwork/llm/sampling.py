@@ -80,3 +80,13 @@ def sample_stability(df: DataFrame, rate: float, seed: int = 20260820, key: str
     part = stable_sample(early, rate, seed, key).select("chain_id", F.lit(True).alias("early"))
     both = stable_sample(df, rate, seed, key).select("chain_id", F.lit(True).alias("whole")).join(part, "chain_id", "full_outer")
     return both.agg(F.count("whole").alias("selected"), F.count("early").alias("early_selected"), F.count_if(F.col("early") & F.col("whole")).alias("kept"), F.count_if(F.col("whole") & F.col("early").isNull()).alias("added"))
+
+
+def domain_check(df: DataFrame, key: str = "chain_id") -> DataFrame:
+    """One row: distinct ``ids``, those ``numbered`` one to one, those ``hashed``, and how many of the latter share a number (``colliding``)."""
+    number = chain_number(F.col("chain_id"))
+    ids = df.select(F.col(key).alias("chain_id")).where(F.col(key).isNotNull()).distinct()
+    per = ids.withColumn("x", number).groupBy("x").agg(F.count("*").alias("n"))
+    hashed = F.col("x") >= F.lit(1 << 60)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(total("n").alias("ids"), total(F.when(~hashed, F.col("n"))).alias("numbered"), total(F.when(hashed, F.col("n"))).alias("hashed"), total(F.when(F.col("n") > 1, F.col("n"))).alias("colliding"))

@@ -150,3 +150,24 @@ def test_report_and_check_with_exchanges(spark):
     got = sorted(map(tuple, packing.packing_check(tokens, stages).collect()))
     empty = tokens.where("coalesce(n_tokens, 0) = 0").count()
     assert got == [(s, c, 1501, empty, 0, 0, 0, 0) for s, c in [("a", 100), ("b", 100), ("c", 64)]]
+
+
+def test_domain_counts_ids_that_share_a_number(spark, monkeypatch):
+    ids = spark.createDataFrame([("a",), ("a",), ("0123456789",), ("01234567890",), ("",), ("é",), (None,)], "chain_id string")
+    assert tuple(sampling.domain_check(ids).first()) == (5, 2, 3, 0)
+    monkeypatch.setattr(sampling, "chain_number", lambda c: F.when(F.length(c) == 1, F.lit(5)).otherwise(F.lit((1 << 60) + 1)).cast("bigint"))
+    assert tuple(sampling.domain_check(ids).first()) == (5, 2, 3, 5)
+    assert tuple(sampling.domain_check(ids.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_bit_map_holds_all_keys(spark):
+    from strandwork.llm import bits
+
+    keys = [int(x) for x in np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "key long").repartition(5)
+    for size in (1 << 16, 1 << 22):
+        words = bits.bit_map(df, size)
+        assert len(bits.present(words, np.array(keys).view(np.uint64), size)) == len(keys)
+        others = np.random.default_rng(4).integers(0, 1 << 62, 3000).view(np.uint64)
+        assert len(bits.present(words, others, size)) < (60 if size == 1 << 16 else 5)
+    assert not bits.bit_map(df.limit(0), 1 << 16).any()
