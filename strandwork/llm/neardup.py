@@ -189,6 +189,21 @@ def held_bands(signed: DataFrame, repeated: DataFrame) -> DataFrame:
     return signed.select("k1", "k2", "bands").mapInArrow(run, "k1 long, k2 long, band long")
 
 
+def signed_members(signed: DataFrame, hot: DataFrame) -> DataFrame:
+    """``band, k1, k2, bands, checks`` of the classes that (nearly always) have a band of ``hot``: only they are moved."""
+    bits = bits_for(hot.count())
+    shared = signed.sparkSession.sparkContext.broadcast(bit_map(hot, bits, "band"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).flatten().to_numpy()
+            at = present(shared.value, keys.view(np.uint64), bits)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), *(c.take(pa.array(at // BANDS)) for c in batch.columns)], names=["band", "k1", "k2", "bands", "checks"])
+
+    return signed.select("k1", "k2", "bands", "checks").mapInArrow(run, "band long, k1 long, k2 long, bands array<long>, checks binary")
+
+
 def candidate_pairs(signed: DataFrame) -> DataFrame:
     """``a1, a2, b1, b2`` of class pairs (a before b) that agree in a band, each once.
 
@@ -205,7 +220,7 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     b = usual.select("band", F.col("k1").alias("b1"), F.col("k2").alias("b2"))
     pairs = a.join(b, "band").where("a1 < b1 OR (a1 = b1 AND a2 < b2)").select("a1", "a2", "b1", "b2")
     if some:
-        pairs = pairs.unionByName(hot_pairs(members.join(hot, "band").join(signed.select("k1", "k2", "bands", "checks"), ["k1", "k2"])))
+        pairs = pairs.unionByName(hot_pairs(signed_members(signed, hot).join(hot, "band")))
     return pairs.distinct()
 
 
