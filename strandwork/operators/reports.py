@@ -30,17 +30,26 @@ def balanced_groups(lengths: list[int], world: int) -> list[list[int]]:
 def balance_batches(batches: DataFrame, world: int) -> DataFrame:
     """``source, batch, item, length, rank``: each batch of a source (a bounded group) dealt to ranks; ``batches``: ``source, batch, item, length``.
 
-    Batches whose size ``world`` doesn't divide keep their overhang on the last rank.
+    Batches whose size ``world`` doesn't divide keep their overhang on the last rank, which then takes the lightest
+    group; where that would be worse than contiguous blocks, the blocks stay.
     """
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item").reset_index(drop=True)
-        even = len(pdf) // world * world
+        lengths, room = pdf["length"].tolist(), len(pdf) // world
+        even = room * world
+        blocks = [list(range(r * room, (r + 1) * room)) for r in range(world)]
+        load = lambda members: sum(lengths[i] for i in members)
+        groups = balanced_groups(lengths[:even], world) if even else blocks
+        if even < len(pdf):
+            groups = sorted(groups, key=load, reverse=True)
+            over = load(range(even, len(pdf)))
+            most = lambda parts: max([*map(load, parts[:-1]), load(parts[-1]) + over])
+            groups = groups if most(groups) <= most(blocks) else blocks
         rank = [world - 1] * len(pdf)
-        if even:
-            for r, members in enumerate(balanced_groups(pdf["length"].tolist()[:even], world)):
-                for i in members:
-                    rank[i] = r
+        for r, members in enumerate(groups):
+            for i in members:
+                rank[i] = r
         return pdf.assign(rank=rank)
 
     return batches.groupBy("source", "batch").applyInPandas(deal, "source string, batch long, item long, length long, rank int")
@@ -215,3 +224,29 @@ def transferred(width: Column, layers: Column, rate: float = 6e-4, decay: float
     """Learning rate and weight decay carried from a base width and depth to another."""
     moved = F.lit(rate) * base_width / width * F.sqrt(F.lit(float(base_layers)) / layers)
     return moved, F.lit(rate * decay) / moved
+
+
+def continuation(step: Column, total: int, start: int) -> Column:
+    """Progress of a continuation that began at ``start``, towards ``total``; null ahead of it."""
+    if not 0 <= start < total:
+        raise ValueError("a continuation begins ahead of its end")
+    return F.when(step >= start, (step - start) / F.lit(float(total - start)))
+
+
+def rank_loads(dealt: DataFrame, size: int, world: int) -> DataFrame:
+    """``source, batch, items, tokens, max_before, max_after, moved, even`` of :func:`balance_batches` rows in batches of ``size``.
+
+    Before: ranks hold contiguous blocks of equal count, and the last one the overhang. ``even``: counts per rank are unchanged.
+    """
+    place = F.pmod("item", F.lit(size))
+    n = dealt.groupBy("source", "batch").agg(F.count("*").alias("items"))
+    room = F.floor(F.col("items") / world)
+    block = F.when((room == 0) | (place >= room * world), F.lit(world - 1)).otherwise(F.floor(place / F.greatest(room, F.lit(1)))).cast("int")
+    rows = dealt.join(n, ["source", "batch"]).withColumn("block", block)
+    load = lambda r, at: F.sum(F.when(F.col(at) == r, F.col("length")).otherwise(F.lit(0)))
+    held = lambda r, at: F.count_if(F.col(at) == r)
+    ranks = range(world)
+    even = F.lit(True)
+    for r in ranks:
+        even = even & (held(r, "block") == held(r, "rank"))
+    return rows.groupBy("source", "batch").agg(F.count("*").alias("items"), F.sum("length").alias("tokens"), F.greatest(*[load(r, "block") for r in ranks]).alias("max_before"), F.greatest(*[load(r, "rank") for r in ranks]).alias("max_after"), F.count_if(F.col("block") != F.col("rank")).alias("moved"), even.alias("even"))

@@ -314,3 +314,33 @@ def migration_plan(spark, d):
 def stage_step_plan(spark, d):
     """The optimiser steps of each stage's budget, split into its constant and its decaying part, and what is left of both at half way."""
     return reports.step_split(table(spark, d, "stages"), WORLD)
+
+
+@query(
+    "stage_by_time",
+    """WITH e AS (SELECT event_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1000000.0::DOUBLE / 2592000 AS p FROM events WHERE ts IS NOT NULL), b AS (SELECT event_id, least(greatest(p, 0), 1) AS p FROM e)
+    SELECT event_id, CASE WHEN p < 2 / 3.0::DOUBLE THEN 'stage1' ELSE 'stage2' END AS stage, round(CASE WHEN p < 2 / 3.0::DOUBLE THEN p / (2 / 3.0::DOUBLE) ELSE (p - 2 / 3.0::DOUBLE) / (1 - 2 / 3.0::DOUBLE) END, 6) AS progress,
+      CASE WHEN event_id >= 500 THEN round((event_id - 500) / 99500.0::DOUBLE, 6) END AS continued FROM b""",
+)
+def stage_by_time(spark, d):
+    """The stage that each entry of a log of 30 days falls in by wall time, and the progress of a continuation from step 500."""
+    rows = table(spark, d, "events").where("ts IS NOT NULL")
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / F.lit(1e6)
+    stage, progress = reports.stage_at(seconds / F.lit(2592000), 2 / 3)
+    return rows.select("event_id", stage.alias("stage"), F.round(progress, 6).alias("progress"), F.round(reports.continuation(F.col("event_id"), 100_000, 500), 6).alias("continued"))
+
+
+@query(
+    "batch_rebalance",
+    f"""WITH {RECORDS}, p AS (SELECT source, least(length(norm) + 2, 512) AS length, row_number() OVER (PARTITION BY source ORDER BY {key(str(SEED), 'source', '0', 'record_id')}, record_id) - 1 AS item FROM r WHERE norm IS NOT NULL AND source IS NOT NULL),
+    n AS (SELECT *, item // 64 AS batch, item % 64 AS place, count(*) OVER (PARTITION BY source, item // 64) AS items FROM p),
+    k AS (SELECT source, batch, items, length, CASE WHEN items < 4 OR place >= items // 4 * 4 THEN 3 ELSE place // (items // 4) END AS rank FROM n),
+    l AS (SELECT source, batch, max(items) AS items, rank, sum(length) AS load FROM k GROUP BY source, batch, rank)
+    SELECT source, batch, max(items) AS items, sum(load)::BIGINT AS tokens, max(load)::BIGINT AS max_before, true AS not_worse, true AS even FROM l GROUP BY source, batch""",
+)
+def batch_rebalance(spark, d):
+    """The loads of 4 ranks before and after dealing each batch anew: never worse, and as many records on each rank."""
+    from strandwork.plans.sampling_plans import batch_balance
+
+    rows = reports.rank_loads(batch_balance(spark, d), 64, WORLD)
+    return rows.select("source", "batch", "items", "tokens", "max_before", (F.col("max_after") <= F.col("max_before")).alias("not_worse"), "even")
