@@ -40,10 +40,13 @@ def rejection(seq: Column, low: int = 60, high: int = 16384, max_ambiguous: floa
 
 
 def token_ids(seq: Column) -> Column:
-    """Ids of the residues of a normalised sequence; characters outside the vocabulary become ``<unk>``."""
-    pairs = [F.lit(x) for i, c in enumerate(VOCABULARY) if len(c) == 1 for x in (c, i)]
-    lookup = F.create_map(*pairs)
-    return F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(lookup, c), F.lit(UNK)))
+    """Ids of the residues of a normalised sequence; characters outside the vocabulary become ``<unk>``.
+
+    The id is looked up in an array by the character's code.
+    """
+    by_code = {ord(c): i for i, c in enumerate(VOCABULARY) if len(c) == 1}
+    lookup = F.array(*[F.lit(by_code.get(k, UNK)) for k in range(128)])
+    return F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c: F.coalesce(F.get(lookup, F.ascii(c)), F.lit(UNK)))
 
 
 def framed(ids: Column, max_length: int, offset: Column | int = 0) -> Column:

@@ -16,7 +16,7 @@ def permutation(rows: DataFrame, seed: int, epoch: Column | int = 0) -> DataFram
     """
     number = epoch if isinstance(epoch, Column) else F.lit(epoch)
     keyed = rows.where("source IS NOT NULL").select("source", "record_id", number.cast("int").alias("epoch"))
-    keyed = keyed.withColumn("key", hex_rank(seed, F.col("source"), F.col("epoch"), F.col("record_id")))
+    keyed = keyed.withColumn("key", F.unhex(hex_rank(seed, F.col("source"), F.col("epoch"), F.col("record_id"))))
     return ranked(keyed, ["source", "epoch"], ["key", "record_id"]).select("source", "record_id", "epoch", (F.col("rn") - 1).alias("position"))
 
 
