@@ -45,6 +45,7 @@ SPAN = 200
 ANCHOR = 128
 SHARD = 48
 BATCH_CHARS = 1 << 20
+PIECE_ROWS = 5000  # put out at once
 _MULTIPLIERS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -159,6 +160,7 @@ def regions(texts: DataFrame, shared: DataFrame, span: int = SPAN, anchor: int =
     bits = bits_for(wanted.count())
     few = thin(texts.select("k1", "k2", "text"), bit_map(wanted, bits, "k1"), bits, "k1")
     each = few.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
+    columns = ["h", "k1", "k2", "begin", "r1", "r2", "region"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -169,7 +171,10 @@ def regions(texts: DataFrame, shared: DataFrame, span: int = SPAN, anchor: int =
                     region = text[begin : x["pos"] + span]
                     digest = xxhash.xxh3_128_intdigest(region.encode("utf-8"))
                     rows.append((x["h"], k1, k2, begin, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), region))
-            yield pd.DataFrame(rows, columns=["h", "k1", "k2", "begin", "r1", "r2", "region"])
+                if len(rows) > PIECE_ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return each.mapInPandas(run, "h long, k1 long, k2 long, begin int, r1 long, r2 long, region string")
 
@@ -297,13 +302,17 @@ def _hit_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _window_rows(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    columns = ["h", "c1", "c2", "r1", "r2", "from", "to"]
     for pdf in batches:
         rows = []
         for h, r1, r2, region in zip(pdf["h"], pdf["r1"], pdf["r2"], pdf["region"]):
             for i in range(len(region) - span + 1):
                 name = xxhash.xxh3_128_intdigest(region[i : i + span].encode("utf-8"))
                 rows.append((h, (name >> 64) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63), r1, r2, i, i + span))
-        yield pd.DataFrame(rows, columns=["h", "c1", "c2", "r1", "r2", "from", "to"])
+            if len(rows) > PIECE_ROWS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def span_members(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, shard: int = SHARD) -> DataFrame:
