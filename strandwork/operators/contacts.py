@@ -33,6 +33,19 @@ def scored_pairs(points: DataFrame, separation: int = SEPARATION) -> DataFrame:
     return pairs.select("chain", "i", "j", F.round(dot(F.col("ea"), F.col("eb")), 9).alias("score"), F.coalesce(F.col("la") == F.col("lb"), F.lit(False)).alias("contact"))
 
 
+def residue_pairs(chains: DataFrame, separation: int = SEPARATION) -> tuple[DataFrame, DataFrame]:
+    """Points (``chain, pos, code``) and pairs (``chain, i, j, score, contact``) of chains (``chain, norm``) of any length.
+
+    Score and contact are stand-ins, whole numbers made from the two residues and their places; many scores tie.
+    """
+    points = chains.select("chain", F.posexplode(F.filter(F.split("norm", ""), lambda c: c != "")).alias("pos", "c")).select("chain", "pos", F.ascii("c").alias("code"))
+    a = points.select("chain", F.col("pos").alias("i"), F.col("code").alias("x"))
+    b = points.select("chain", F.col("pos").alias("j"), F.col("code").alias("y"))
+    met = a.join(b, "chain").where(F.col("j") - F.col("i") >= separation)
+    score = F.pmod(F.col("x") * 31 + F.col("y") * 17 + F.col("i") * 7 + F.col("j") * 13, F.lit(1009))
+    return points, met.select("chain", "i", "j", score.alias("score"), (F.pmod(F.col("x") + F.col("y") + F.col("i") + F.col("j"), F.lit(11)) == 0).alias("contact"))
+
+
 def eligibility(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs and contacts per chain; eligible with at least as many of each as the chain is long."""
     size = points.groupBy("chain").agg(F.count("*").alias("chain_length"))
@@ -46,12 +59,19 @@ def precision_at_length(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The pairs are ranked once; both shares come from one aggregate over them.
     """
+    return chain_scores(points, pairs).select("chain", "precision_at_l", "random_precision")
+
+
+def chain_scores(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``chain, chain_length, pairs, contacts, eligible, precision_at_l, random_precision`` of the chains that have pairs, in one pass."""
     size = points.groupBy("chain").agg(F.count("*").alias("chain_length"))
     order = Window.partitionBy("chain").orderBy(F.desc("score"), "i", "j")
     hit = F.col("contact").cast("int")
     best = F.when(F.col("rn") <= F.col("chain_length"), hit)
     placed = pairs.withColumn("rn", F.row_number().over(order)).join(size, "chain")
-    return placed.groupBy("chain").agg(F.round(F.avg(best), 6).alias("precision_at_l"), F.round(F.avg(hit), 6).alias("random_precision"))
+    per = placed.groupBy("chain").agg(F.first("chain_length").alias("chain_length"), F.count("*").alias("pairs"), F.count_if("contact").alias("contacts"), F.round(F.avg(best), 6).alias("precision_at_l"), F.round(F.avg(hit), 6).alias("random_precision"))
+    n = F.col("chain_length")
+    return per.select("chain", "chain_length", "pairs", "contacts", ((F.col("pairs") >= n) & (F.col("contacts") >= n)).alias("eligible"), "precision_at_l", "random_precision")
 
 
 def balanced_pairs(pairs: DataFrame, per_class: int, seed: int) -> DataFrame:

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.functions.sequence import normalised
 from strandwork.operators import contacts, corpus, planning, reports, sampling
 from strandwork.operators.contracts import config_differences
 from strandwork.operators.ordering import ranked
 from strandwork.plans import corpus_plans  # noqa: F401  (its SQL is extended here)
 from strandwork.plans.registry import SQL, query
 from strandwork.plans.sampling_plans import BATCH, SEED, WEIGHTS, WORLD, _train
-from strandwork.plans.sql import RECORDS, key, u52
+from strandwork.plans.sql import RECORDS, key, norm, u52
 from strandwork.runtime import scratch_path, settle, table
 from strandwork.sources import readers, writers
 
@@ -344,3 +345,20 @@ def batch_rebalance(spark, d):
 
     rows = reports.rank_loads(batch_balance(spark, d), 64, WORLD)
     return rows.select("source", "batch", "items", "tokens", "max_before", (F.col("max_after") <= F.col("max_before")).alias("not_worse"), "even")
+
+
+@query(
+    "chain_precision",
+    f"""WITH c AS (SELECT chain_id, min({norm('sequence')}) AS s FROM cached_contact_chain WHERE chain_id IS NOT NULL AND sequence IS NOT NULL GROUP BY 1 HAVING min({norm('sequence')}) <> ''),
+    x AS (SELECT chain_id, unnest(range(length(s))) AS pos, unnest(regexp_extract_all(s, '.')) AS ch FROM c), pt AS (SELECT chain_id, pos, ascii(ch) AS code FROM x),
+    pr AS (SELECT a.chain_id, a.pos AS i, b.pos AS j, (a.code * 31 + b.code * 17 + a.pos * 7 + b.pos * 13) % 1009 AS score, (a.code + b.code + a.pos + b.pos) % 11 = 0 AS contact FROM pt a JOIN pt b ON a.chain_id = b.chain_id AND b.pos - a.pos >= 24),
+    o AS (SELECT pr.chain_id, length(s) AS n, contact, row_number() OVER (PARTITION BY pr.chain_id ORDER BY score DESC, i, j) AS rn FROM pr JOIN c ON c.chain_id = pr.chain_id)
+    SELECT chain_id, max(n) AS chain_length, count(*) AS pairs, count(*) FILTER (contact) AS contacts, count(*) >= max(n) AND count(*) FILTER (contact) >= max(n) AS eligible,
+      round(avg(contact::INT) FILTER (rn <= n), 6) AS precision_at_l, round(avg(contact::INT), 6) AS random_precision FROM o GROUP BY chain_id""",
+)
+def chain_precision(spark, d):
+    """Pairs, eligibility and precision at L of every cached chain, over its own sequence and length (scores are stand-ins)."""
+    rows = table(spark, d, "cached_contact_chain").where("chain_id IS NOT NULL AND sequence IS NOT NULL")
+    chains = rows.groupBy(F.col("chain_id").alias("chain")).agg(F.min(normalised(F.col("sequence"))).alias("norm")).where("norm <> ''")
+    points, pairs = contacts.residue_pairs(settle(chains, "chains"))
+    return contacts.chain_scores(points, pairs).withColumnRenamed("chain", "chain_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -57,10 +58,15 @@ def scratch_root(spark: SparkSession) -> str:
     root = f"{scratch_dir(spark).rstrip('/')}/strandwork/{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
-        atexit.register(drop_scratch, spark)
+        atexit.register(_drop_at_exit, spark)
     return root
 
 
+def _drop_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        drop_scratch(spark)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the written tables of this application. Call it once the results that read them are out."""
     jvm = getattr(spark.sparkContext, "_jvm", None)
