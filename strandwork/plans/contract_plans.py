@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from strandwork.functions.sequence import normalised
 from strandwork.operators import contacts, corpus, planning, reports, sampling
 from strandwork.operators.contracts import config_differences
-from strandwork.operators.ordering import ranked
 from strandwork.plans import corpus_plans  # noqa: F401  (its SQL is extended here)
 from strandwork.plans.registry import SQL, query
 from strandwork.plans.sampling_plans import BATCH, SEED, WEIGHTS, WORLD, _train
