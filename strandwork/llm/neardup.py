@@ -5,8 +5,9 @@ Records are compared by the Jaccard similarity of their sets of runs of ``GRAM``
 1. Records with equal canonical sequences are one *class* and are compared once.
 2. *Candidates.* Per class ``BANDS x ROWS`` MinHash values; classes that agree in a whole
    band are candidates. At similarity ``s`` a pair escapes all bands with probability
-   ``(1 - s^ROWS)^BANDS``: 9.6e-6 at the threshold 0.5, far less above. Candidates stay near the number of true
-   pairs: 1.01 to 1.18 of them for one thousand to 118 thousand classes. Band keys are first counted (as blocks of sorted keys, combined per batch), and only keys
+   ``(1 - s^ROWS)^BANDS``: 9.6e-6 at the threshold 0.5, far less above. Candidates stay near
+   the number of true pairs: 1.01 to 1.18 times it for one thousand to 118 thousand classes.
+   Band keys are first counted (as blocks of sorted keys, combined per batch), and only keys
    that occur twice become rows, thinned by a bit map of bounded size.
 3. *Bayesian pruning.* MinHash values (``CHECKS`` of them, a byte each) are compared ``STEP`` at a
    time. After each step the posterior probability (uniform prior) that the similarity
