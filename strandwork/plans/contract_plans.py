@@ -359,5 +359,4 @@ def chain_precision(spark, d):
     """Pairs, eligibility and precision at L of every cached chain, over its own sequence and length (scores are stand-ins)."""
     rows = table(spark, d, "cached_contact_chain").where("chain_id IS NOT NULL AND sequence IS NOT NULL")
     chains = rows.groupBy(F.col("chain_id").alias("chain")).agg(F.min(normalised(F.col("sequence"))).alias("norm")).where("norm <> ''")
-    points, pairs = contacts.residue_pairs(settle(chains, "chains"))
-    return contacts.chain_scores(points, pairs).withColumnRenamed("chain", "chain_id")
+    return contacts.residue_scores(chains).withColumnRenamed("chain", "chain_id")
